@@ -142,12 +142,12 @@ def robust_distances(stats: DataFrame, by: list[str], core: float = 0.75, steps:
     return rows.join(fit, "g").withColumn("distance", _distance()).drop("g", "center", "inverse")
 
 
-def quality_rules(docs: DataFrame, limit: float = 36.0, min_words: int = 20, repeat_percent: int = 30, width: int = 8) -> DataFrame:
+def quality_rules(docs: DataFrame, limit: float = 25.0, min_words: int = 20, repeat_percent: int = 30, width: int = 8) -> DataFrame:
     """Base counts, verdicts and distance of each row of ``docs`` (columns doc_id, text, lang, source).
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     distance``. ``kept`` is false where ``base_failed``, else whether the distance is at most ``limit``
-    (the mean of a chi-square with len(FEATURES) degrees is 6; 36 leaves out fewer than 3 in a million).
+    (a chi-square with len(FEATURES) degrees passes 25 three times in ten thousand).
     Null and empty texts have no words and fail. Null lang or source is a group of its own. Repeated rows
     count as often as they come; an empty table gives an empty one; extra columns are ignored.
     """
