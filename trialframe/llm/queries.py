@@ -8,24 +8,65 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .curriculum import curriculum
+from .decontaminate import find_leaks
+from .htmlblocks import extract
+from .langid import identify
+from .paragraphs import repeated_passages
+from .pii import find_personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .suffixtree import score_texts
+from .urlfilter import filter_urls
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (
+    op1_language_id, op2_paragraph_dedup, op3_mix_curriculum, op4_suffix_tree_scores, op5_personal_data, op6_url_filter,
+    op7_decontaminate, op8_quality_outliers, op9_main_text, op10_simhash_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_curriculum, op8_quality_outliers, op10_simhash_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 OP3 = r"""
