@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trialframe.llm.common import written
 from trialframe.llm.curriculum import curriculum
+from trialframe.llm.decontaminate import drop_leaks
+from trialframe.llm.pii import mask_personal_data
 from trialframe.llm.quality import keep_good
 from trialframe.llm.simhash import one_of_each
 
@@ -20,12 +22,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked and n_chars counted anew."""
+    return mask_personal_data(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's copies and training position under the curriculum."""
     return curriculum(docs)
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("mixing", mix)]
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("personal data", personal_data),
+    ("mixing sources to target weights", mix),
+]
 
 #: SQL cannot express the robust fit of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -19,9 +19,17 @@ def word_list(text: Column) -> Column:
 
 
 def shingle_list(words: Column, width: int) -> Column:
-    """64-bit hashes of the ``width``-word shingles in order; empty for fewer words."""
-    hashed = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)])
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), hashed)).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of the ``width``-word shingles in order; empty for fewer words.
+
+    ``words`` is bound to a lambda's variable, so it is worked out once for a row whatever the optimizer merges.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def hashed(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
+        return F.when(F.size(w) >= width, grams).otherwise(none)
+
+    return F.get(F.transform(F.array(words), hashed), F.lit(0))
 
 
 def with_simhash(rows: DataFrame, name: str, lane_bits: int) -> DataFrame:
@@ -32,9 +40,9 @@ def with_simhash(rows: DataFrame, name: str, lane_bits: int) -> DataFrame:
     """
     ones = sum(1 << lane_bits * j for j in range(BITS // lane_bits))
     lanes = f"transform(sequence(0, {lane_bits - 1}), k -> aggregate(own, 0L, (a, h) -> a + (shiftrightunsigned(h, k) & {ones}L)))"
-    count = f"shiftrightunsigned(_lanes[b % {lane_bits}], cast({lane_bits} * (b div {lane_bits}) as int)) & {(1 << lane_bits) - 1}L"
-    bits = f"aggregate(sequence(0, {BITS - 1}), 0L, (a, b) -> a | if(({count}) * 2 > size(own), shiftleft(1L, b), 0L))"
-    return rows.withColumn("_lanes", F.expr(lanes)).withColumn(name, F.expr(bits)).drop("_lanes")
+    count = f"shiftrightunsigned(lanes[b % {lane_bits}], cast({lane_bits} * (b div {lane_bits}) as int)) & {(1 << lane_bits) - 1}L"
+    bits = f"transform(array({lanes}), lanes -> aggregate(sequence(0, {BITS - 1}), 0L, (a, b) -> a | if(({count}) * 2 > size(own), shiftleft(1L, b), 0L)))[0]"
+    return rows.withColumn(name, F.expr(bits))
 
 
 def blocks(fp: Column, radius: int) -> Column:
