@@ -232,9 +232,9 @@ def _ids(column="text"):
 
 
 @query("""WITH t AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '[ \\n]'), lambda w: w <> ''), lambda w: len(w))[1:1024] AS ids FROM documents),
-p AS (SELECT doc_id, ids, coalesce(list_min(list_filter(range(1, len(ids)), lambda i: ids[i] = 3 AND ids[i + 1] = 2)), 0) AS at FROM t)
-SELECT doc_id, len(ids) AS n, at > 0 AS mask_found, list_sum(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN at > 0 AND i <= at + 1 THEN -100 ELSE ids[i] END))::BIGINT AS label_sum,
- len(list_filter(range(1, len(ids) + 1), lambda i: at > 0 AND i <= at + 1)) AS n_masked FROM p WHERE len(ids) > 0""")
+p AS (SELECT doc_id, ids, coalesce(list_min(list_filter(range(1, len(ids)), lambda i: ids[i] = 3 AND ids[i + 1] = 2)), 0) AS pos FROM t)
+SELECT doc_id, len(ids) AS n, pos > 0 AS mask_found, list_sum(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN pos > 0 AND i <= pos + 1 THEN -100 ELSE ids[i] END))::BIGINT AS label_sum,
+ len(list_filter(range(1, len(ids) + 1), lambda i: pos > 0 AND i <= pos + 1)) AS n_masked FROM p WHERE len(ids) > 0""")
 def label_mask_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", chat.truncate(_ids()).alias("ids")).where("size(ids) > 0")
     template = F.array(F.lit(3), F.lit(2))
