@@ -43,7 +43,13 @@ def base_score(texts, learn):
 def test_scores_match_brute_force(spark, common):
     rng = random.Random(6)
     words = ["w%d" % i for i in range(60)]
-    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(0, 80))) for _ in range(150)] + [None, "new words only", "A b\tA"]
+    texts = []
+    for _ in range(150):
+        w = rng.choices(range(60), [1 / (i + 1) for i in range(60)], k=rng.randint(0, 80))
+        for i in range(1, len(w)):  # words often bring their follower with them, which a context can learn
+            w[i] = (w[i - 1] * 7 + 1) % 60 if rng.random() < 0.6 else w[i]
+        texts.append(" ".join(words[i] for i in w))
+    texts += [None, "new words only", "A b\tA"]
     learn = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
     n, want = base_score(texts, learn)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -58,22 +64,15 @@ def test_tree_is_a_distribution(spark):
     texts = ["a b a b a c"] * 40 + ["b a c c"] * 20
     df = spark.createDataFrame([(t,) for t in texts], "x string").selectExpr("cast(x as binary) as t")
     words = suffixtree.count_words(df).persist()
-    total, vocabulary = words.agg({"n": "sum", "word": "count"}).first()[::-1] if False else (sum(r["n"] for r in words.collect()), words.count())
+    total, vocabulary = sum(r["n"] for r in words.collect()), words.count()
     tree, counts, discount = suffixtree.learn_tree(df, words, total, vocabulary, cutoff=1.0)
     assert [len(x.contexts) > 0 for x in tree.levels] == [True, True]
     unseen = discount * vocabulary / total
-    first = {w: 10 ** tree.score([[w]])[0] / 10 ** tree.score([[w]])[0] for w in counts if w != suffixtree.END}
-    assert first and unseen > 0
     # After each context the probabilities of all words, the end and unseen words add up to 1.
     depth = len(tree.levels)
     for context in ([b"a"], [b"a", b"b"], []):
-        before = tree.score([context])[0]
-        p_end = {}
-        for w in [*counts, b"?"]:
-            seq = context + ([w] if w != suffixtree.END else [])
-            p_end[w] = seq
         probs = _next(tree, context, [*counts], unseen, depth)
-        assert probs == pytest.approx(1.0, abs=1e-6) and before < 0
+        assert probs == pytest.approx(1.0, abs=1e-6)
 
 
 def _next(tree, context, words, unseen, depth):
