@@ -173,9 +173,12 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, sample: int = 20_000, **options) -> BoostedTrees:
-    """Fit on at most ``sample`` rows of ``labelled`` (columns url, features, label 0 or 1): those whose urls' hashes are
-    smallest, so the choice depends on neither order nor partitions."""
-    part = labelled.orderBy(F.xxhash64("url"), "url", "label", "features").limit(sample).select("features", "label").toPandas()
+    """Fit on about ``sample`` rows of ``labelled`` (columns page_id, url, features, label 0 or 1), all of them if there are
+    no more: those whose id and url hash below the share that gives so many, whatever order and partitions."""
+    share = sample / max(1, labelled.count())
+    draw = F.xxhash64("page_id", "url").bitwiseAND(F.lit((1 << 31) - 1).cast("long")) / F.lit(float(1 << 31))
+    part = labelled.where(draw < F.lit(float(share))).select("features", "label").toPandas()
+    part = part.iloc[sorted(range(len(part)), key=lambda i: (part["label"][i], tuple(part["features"][i])))]
     x = np.array(part["features"].tolist(), float).reshape(-1, len(LEXICAL))
     return BoostedTrees(**options).fit(x, part["label"].to_numpy(float))
 
