@@ -153,16 +153,16 @@ def train(docs: DataFrame, bits: int = 14, sample_per_lang: int = 500, epochs: i
     """Learn from ``docs`` (columns text, lang); rows without text or lang are left out.
 
     Document frequencies cover all rows. The classifier is fitted on a sample of ``sample_per_lang`` expected
-    rows a language, chosen by the text's hash: a share of each language's rows, so a language with a third
+    rows a language, chosen by the hash of text and id: a share of each language's rows, so a language with a third
     of all rows costs no more than others. Every fifth of them calibrates the temperature instead.
     """
-    known = docs.where("lang is not null and text is not null").select("text", "lang")
+    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(known, bits)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     per = written(known.groupBy("lang").agg(F.count("*").alias("rows")))
     if per.count() <= 10_000:  # a row for each language; the texts then need no shuffle
         per = F.broadcast(per)
-    draw = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")) / F.lit(float(1 << 31))
+    draw = F.xxhash64("text", "doc_id").bitwiseAND(F.lit((1 << 31) - 1).cast("long")) / F.lit(float(1 << 31))
     part = known.join(per, "lang").where(draw < F.lit(float(sample_per_lang)) / F.col("rows")).select("lang", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
