@@ -105,7 +105,7 @@ def detectable_effect(pairs: DataFrame, alpha: float = 0.05, power: float = 0.80
 def subsample_means(pairs: DataFrame, size: int = 50, n_sims: int = 1000, seed: int = 42) -> DataFrame:
     """``sim, diff, winner`` of ``n_sims`` samples of ``size`` pairs without replacement. Fewer pairs than ``size`` raise."""
     enough = pairs.agg(F.count("*").alias("n")).select(F.when(F.col("n") < size, F.raise_error(F.lit(f"fewer than {size} pairs"))).otherwise(F.col("n")).alias("n"))
-    rows = pairs.join(enough).select("id", "diff", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
+    rows = pairs.join(enough).where("n >= 0").select("id", "diff", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
     rank = F.row_number().over(Window.partitionBy("sim").orderBy(digest(seed, F.col("sim"), F.col("id")), "id"))
     agg = rows.withColumn("r", rank).where(F.col("r") <= size).groupBy("sim").agg(F.avg("diff").alias("diff"))
     return agg.withColumn("winner", F.when(F.col("diff") > 0, "B").when(F.col("diff") < 0, "A").otherwise("Tie"))

@@ -165,7 +165,7 @@ def first_accepted(verified: DataFrame, n: int, split: str) -> DataFrame:
     rank = F.row_number().over(Window.orderBy("attempt")) - 1
     top = good.orderBy("attempt").limit(n).withColumn("seq", rank)
     have = top.agg(F.count("*").alias("c")).select(F.when(F.col("c") < n, F.raise_error(F.lit(f"fewer than {n} accepted: make more attempts"))).otherwise(F.col("c")).alias("c"))
-    return top.join(have).drop("c").withColumn("id", F.format_string(f"{split}_%05d", F.col("seq"))).withColumn("split", F.lit(split))
+    return top.join(have).where("c >= 0").drop("c").withColumn("id", F.format_string(f"{split}_%05d", F.col("seq"))).withColumn("split", F.lit(split))
 
 
 def verified_dataset(spark: SparkSession, n: int, base_seed: int, split: str, verify: Callable[[DataFrame], DataFrame], over: float = 1.5, rounds: int = 4) -> DataFrame:
