@@ -516,7 +516,7 @@ def train_log_kinds(spark, sf_dir):
     """A log of three kinds of rows, written as JSON and read back by the log's schema."""
     rows = [(0.1, 5, 1.5, None, None), (0.2, 10, 1.1, None, None), (0.2, 10, None, 0.9, None), (0.3, 15, None, None, 12.5)]
     path = _scratch(spark, "train-log")
-    spark.createDataFrame(rows, "epoch double, step bigint, loss double, eval_loss double, train_runtime double").coalesce(1).write.json(path)
+    spark.createDataFrame(rows, "epoch double, step bigint, loss double, eval_loss double, train_runtime double").agg(F.to_json(F.collect_list(F.struct("*")))).write.text(path)
     return files.read_train_log(spark, path).groupBy("record_kind").agg(F.count("*").alias("n"))
 
 
