@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
@@ -156,18 +156,32 @@ def find_units(docs: DataFrame, **options) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, n_words int, class long, bands array<long>")
 
 
+def sketch(members: np.ndarray) -> list[int]:
+    """256 bits, each the parity of how many of the distinct ``members`` hash to it: where two sets' sketches
+    differ in n bits, at least n members are in one set only."""
+    bits = np.bincount(((members * _Q) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def shingle_sets(docs: DataFrame, where: DataFrame, width: int) -> DataFrame:
-    """``class, set`` of the paragraphs of ``where`` (class, doc_id, key, start, end), read from ``docs`` again."""
+    """``class, set, bits`` of the paragraphs of ``where`` (class, doc_id, key, start, end), read from ``docs`` again."""
     own = where.select("class", F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     src = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
     src = src.select("class", F.substring("text", F.col("_s") + 1, F.col("_e") - F.col("_s")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingles(Words(t).hash, width)).view(np.int64).tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"])
+            sets = [np.unique(shingles(Words(t).hash, width)) for t in b.column(1).to_pylist()]
+            bits = pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64).tolist() for x in sets], pa.list_(pa.int64())), bits], ["class", "set", "bits"])
+
+    return src.mapInArrow(run, "class long, set array<long>, bits array<long>").dropDuplicates(["class"])
+
 
-    return src.mapInArrow(run, "class long, set array<long>").dropDuplicates(["class"])
+def _may_be_similar(s: str, t: str, similarity: float) -> Column:
+    """No less than the truth: sets of sizes m and n that are ``similarity`` alike differ in (m + n) (1 - s) / (1 + s) members at most."""
+    differ = sum((F.bit_count(F.col(f"{s}.bits")[i].bitwiseXOR(F.col(f"{t}.bits")[i])) for i in range(4)), F.lit(0))
+    return differ <= (F.col(f"{s}.members") + F.col(f"{t}.members")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -177,29 +191,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_links(found: DataFrame, docs: DataFrame, width: int, similarity: float, all_pairs_to: int = 64) -> DataFrame:
+def near_links(found: DataFrame, docs: DataFrame, width: int, similarity: float, all_pairs_to: int = 16) -> DataFrame:
     """Links ``a, b`` that join the near-duplicate paragraph classes of ``found`` into components.
 
-    Classes meet in the buckets of their bands. Buckets of up to ``all_pairs_to`` classes compare all pairs (so at most 32
-    for each class); in larger ones each class is first compared with two of them, and then only pairs that
-    are still in different components, which loses no link between components and emits no group's pairs.
+    Classes meet in the buckets of their bands. A pair is made only if the classes' sketches allow the similarity, which
+    leaves out no similar pair; made pairs are verified exactly. In buckets of more than ``all_pairs_to`` classes each is first
+    compared with the class of most copies, and then only pairs that are still in different components are made:
+    that loses no link between components and emits no group's pairs.
     """
-    par = found.where("size(bands) > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "key", "start", "end", "bands"), F.struct("doc_id", "key", "start")).alias("r")).select("class", "r.*")
+    par = found.where("size(bands) > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "key", "start", "end", "bands"), F.struct("doc_id", "key", "start")).alias("r")).select("class", "copies", "r.*")
     par = written(par)
-    index = par.select("class", F.explode("bands").alias("band"))
-    size = index.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("n > 1")
+    index = par.select("class", "copies", F.explode("bands").alias("band"))
+    size = index.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("copies", "class")).alias("top")).where("n > 1").select("band", "n", F.col("top.class").alias("hub"))
     index = written(index.join(size, "band"))
-    meet = index.select("class").distinct()
-    sets = written(shingle_sets(docs, par.join(meet, "class"), width))
+    sets = written(shingle_sets(docs, par.join(index.select("class").distinct(), "class"), width))
+    sketches = sets.select("class", "bits", F.size("set").alias("members"))
+    index = written(index.join(sketches, "class").select("band", "class", "n", "hub", "bits", "members"))
     small, large = index.where(F.col("n") <= all_pairs_to), index.where(F.col("n") > all_pairs_to)
-    pairs = small.alias("s").join(small.alias("t"), (F.col("s.band") == F.col("t.band")) & (F.col("s.class") < F.col("t.class"))).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"))
-    star = large.select(F.col("low").alias("a"), F.col("class").alias("b")).union(large.select(F.col("class").alias("a"), F.col("high").alias("b"))).where("a < b")
+    likely = _may_be_similar("s", "t", similarity)
+    ordered = (F.least("s.class", "t.class").alias("a"), F.greatest("s.class", "t.class").alias("b"))
+    pairs = small.alias("s").join(small.alias("t"), (F.col("s.band") == F.col("t.band")) & (F.col("s.class") < F.col("t.class")) & likely).select(*ordered)
+    hubs = large.where(F.col("class") == F.col("hub"))
+    star = large.alias("s").join(hubs.alias("t"), (F.col("s.band") == F.col("t.band")) & (F.col("s.class") != F.col("t.class")) & likely).select(*ordered)
     links = written(_verified(pairs.union(star).distinct(), sets, similarity))
     if large.isEmpty():
         return links
     root = connected_components(links)
-    named = written(large.join(root, large["class"] == root["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root")))
-    rest = named.alias("s").join(named.alias("t"), (F.col("s.band") == F.col("t.band")) & (F.col("s.root") < F.col("t.root"))).select(F.least("s.class", "t.class").alias("a"), F.greatest("s.class", "t.class").alias("b"))
+    named = written(large.join(root, large["class"] == root["node"], "left").select("band", "class", "bits", "members", F.coalesce("root", "class").alias("root")))
+    rest = named.alias("s").join(named.alias("t"), (F.col("s.band") == F.col("t.band")) & (F.col("s.root") < F.col("t.root")) & likely).select(*ordered)
     return links.union(_verified(rest.distinct(), sets, similarity))
 
 
