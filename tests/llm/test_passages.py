@@ -87,3 +87,19 @@ def test_large_bucket_of_near_copies(spark):
     linked = {i for i in range(90) for j in range(90) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     got = {r["doc_id"] for r in paragraphs.repeated_passages(df).collect()}
     assert linked <= got
+
+
+def test_every_long_passage_is_found_whole(spark):
+    rng = random.Random(11)
+    docs, want = [], {}
+    for i, n in enumerate([51, 52, 55, 60] * 30):
+        passage = say(rng, n)
+        for k in range(2):
+            head = say(rng, 60 + k)
+            docs.append((2 * i + k, f"{head} {passage} {say(rng, 60)}"))
+            want[2 * i + k] = (len(head) + 1, len(head) + 1 + len(passage), n, 2 * i, k == 1)
+    docs += [(1000, "no no " * 80), (1001, "Short line\n" + say(rng, 30)), (1002, say(rng, 30) + "\nshort line")]
+    rows = paragraphs.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["cluster_id"], r["removed"]) for r in rows if r["doc_id"] < 1000}
+    assert got == want and len(rows) == len(want) + 2
+    assert {(r["doc_id"], r["n_words"], r["removed"]) for r in rows if r["doc_id"] >= 1000} == {(1001, 2, False), (1002, 2, True)}

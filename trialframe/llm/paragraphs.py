@@ -54,45 +54,78 @@ class Words:
         self.line = np.cumsum(cp == 10)[self.start]
 
 
-def minima(h: np.ndarray, line: np.ndarray, radius: int) -> np.ndarray:
-    """Whether each value is the least within ``radius`` places of its own line."""
-    number = np.cumsum(np.diff(line, prepend=line[:1]) != 0)
-    place = np.arange(len(h)) + radius * (number + 1)
-    wide = np.full(place[-1] + radius + 1, _MAX, U)
-    wide[place] = h
-    least = np.lib.stride_tricks.sliding_window_view(wide, 2 * radius + 1).min(1)
-    return h == least[place - radius]
-
-
-def units(text: str, width: int = 5, rows: int = 3, bands: int = 8, whole_words: int = 20, least_words: int = 8, radius: int = 8):
-    """Paragraphs of a text and the passages that tile them: (start, end, n_words, class, bands or None) as columns.
-
-    A paragraph is a line. Passages are cut where the hash of two neighbouring words is the least within ``radius``
-    words: the cut depends on nothing farther off, so a passage that is copied into another paragraph is cut
-    alike there. Units of fewer than ``least_words`` words are left out; paragraphs of ``whole_words`` words or
-    more have MinHash bands.
+def _slide(h: np.ndarray, width: int, take) -> np.ndarray:
+    """``take`` (np.minimum or np.maximum) over each ``width`` neighbouring values."""
+    done = 1
+    out = h
+    while done < width:
+        step = min(done, width - done)
+        out = take(out[: len(out) - step], out[step:])
+        done += step
+    return out
+
+
+class Grams:
+    """Runs of ``width`` words inside each text of ``w``: ``at`` (first word), ``cls`` (hash), ``text`` (number), ``place`` in the text."""
+
+    def __init__(self, w: Words, text: np.ndarray, width: int):
+        n = len(w.hash)
+        self.total = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * _powers(_Q, n), dtype=U)])
+        self.back = _powers(_Q_INVERSE, n)
+        at = np.arange(max(0, n - width + 1))
+        self.at = at[text[at] == text[at + width - 1]]
+        self.text = text[self.at]
+        new = np.diff(self.text, prepend=-1) != 0
+        first = np.flatnonzero(new)
+        self.place = np.arange(len(self.at)) - first[np.cumsum(new) - 1] if len(first) else self.at
+        self.number = np.diff(np.append(first, len(self.at)))  # of each text that has any
+        self.cls = self.of(self.at, self.at + width)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``begin`` up to ``end``."""
+        return mix((self.total[end] - self.total[begin]) * self.back[begin] + (end - begin).astype(U))
+
+    def chosen(self, window: int) -> np.ndarray:
+        """Whether each run's hash is the least of some ``window`` neighbouring runs of its text (of all, if there are fewer).
+
+        The choice depends on those runs alone, so of any ``window`` neighbouring runs that two texts share one is chosen in both.
+        """
+        if not len(self.at):
+            return np.zeros(0, bool)
+        text = np.repeat(np.arange(len(self.number)), self.number)
+        spot = np.arange(len(self.at)) + window * (text + 1)
+        wide = np.full(spot[-1] + window, _MAX, U)
+        wide[spot] = self.cls
+        least = _slide(wide, window, np.minimum)
+        whole = np.zeros(len(wide), U)
+        ok = self.place <= np.maximum(self.number[text] - window, 0)
+        whole[spot[ok]] = least[spot[ok]]
+        return self.cls == _slide(whole, window, np.maximum)[spot - window + 1]
+
+
+def units(text: str, first: np.ndarray, width: int = 5, rows: int = 3, bands: int = 8, whole_words: int = 20, run: int = 25, surely: int = 51):
+    """Paragraphs of texts and chosen runs of their words, as columns (start, end, at, n_words, class, bands or None).
+
+    ``text`` is texts that begin at ``first``, with a line end between them. A paragraph is a line, whatever its length; those of
+    ``whole_words`` words or more have MinHash bands. Runs have ``run`` words and may cross lines; they are chosen (winnowed) such that
+    every passage of ``surely`` words or more that two texts share holds one that is chosen in both. ``at`` counts words of the own text.
     """
     w = Words(text)
     n = len(w.hash)
     if not n:
         return None
-    new_line = np.diff(w.line, prepend=-1) != 0
-    cut = new_line.copy()
-    cut[1:] |= minima(mix(w.hash[:-1] * U(3) + w.hash[1:]), w.line[1:], radius) & ~new_line[1:] if n > 1 else False
-    begin = np.flatnonzero(new_line)
+    own = np.searchsorted(first, w.start, side="right") - 1
+    new_text = np.diff(own, prepend=-1) != 0
+    at = np.arange(n) - np.flatnonzero(new_text)[np.cumsum(new_text) - 1]
+    begin = np.flatnonzero(np.diff(w.line, prepend=-1) != 0)
     whole = np.stack([begin, np.append(begin[1:], n)], 1)
-    begin = np.flatnonzero(cut)
-    part = np.stack([begin, np.append(begin[1:], n)], 1)
-    # A line in one piece is a paragraph only.
-    part = part[~(new_line[part[:, 0]] & np.isin(part[:, 1], whole[:, 1]) & np.isin(part[:, 0] * (n + 1) + part[:, 1], whole[:, 0] * (n + 1) + whole[:, 1]))]
-    whole, part = whole[whole[:, 1] - whole[:, 0] >= least_words], part[part[:, 1] - part[:, 0] >= least_words]
-    both = np.concatenate([whole, part])
-    if not len(both):
-        return None
-    total = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * _powers(_Q, n), dtype=U)])
-    back = _powers(_Q_INVERSE, n)
+    grams = Grams(w, own, run)
+    begin = grams.at[grams.chosen(surely - run + 1)]
+    both = np.concatenate([whole, np.stack([begin, begin + run], 1)])
     size = both[:, 1] - both[:, 0]
-    cls = mix((total[both[:, 1]] - total[both[:, 0]]) * back[both[:, 0]] + size.astype(U))
+    cls = grams.of(both[:, 0], both[:, 1])
+    # A paragraph of as many words as a run is told apart from the run in the same place.
+    cls[: len(whole)] = np.where(size[: len(whole)] == run, mix(cls[: len(whole)] + U(1)), cls[: len(whole)])
     keys = np.zeros((len(both), bands), np.int64)
     banded = np.zeros(len(both), bool)
     banded[: len(whole)] = whole[:, 1] - whole[:, 0] >= max(whole_words, width)
@@ -100,16 +133,38 @@ def units(text: str, width: int = 5, rows: int = 3, bands: int = 8, whole_words:
         long = both[banded]
         shingle = shingles(w.hash, width)
         count = long[:, 1] - long[:, 0] - width + 1
-        first = np.cumsum(count) - count
-        take = np.arange(count.sum()) - np.repeat(first, count) + np.repeat(long[:, 0], count)
+        begin = np.cumsum(count) - count
+        take = np.arange(count.sum()) - np.repeat(begin, count) + np.repeat(long[:, 0], count)
         s = shingle[take]
         for b in range(bands):
             key = np.full(len(long), b, U)
             for r in range(rows):
                 salt = mix(np.array([b * rows + r + 1], U))
-                key = mix(key * _Q + np.minimum.reduceat((s ^ salt) * U(0xD6E8FEB86659FD93) >> U(16), first))
+                key = mix(key * _Q + np.minimum.reduceat((s ^ salt) * U(0xD6E8FEB86659FD93) >> U(16), begin))
             keys[banded, b] = key.view(np.int64)
-    return w.start[both[:, 0]], w.end[both[:, 1] - 1], size, cls.view(np.int64), banded, keys
+    is_whole = np.arange(len(both)) < len(whole)
+    return w.start[both[:, 0]], w.end[both[:, 1] - 1], at[both[:, 0]], size, cls.view(np.int64), is_whole, banded, keys
+
+
+def runs_near(text: str, hits: list[int], run: int, reach: int):
+    """The runs of ``run`` words of a text that begin up to ``reach`` words from one of ``hits``: columns start, end, at, base, class.
+
+    ``base`` is where the chain of equal runs that overlap each other begins, so that a text that repeats one word is no copy of itself.
+    """
+    w = Words(text)
+    grams = Grams(w, np.zeros(len(w.hash), np.int64), run)
+    mark = np.zeros(len(grams.at) + 1, np.int64)
+    hit = np.array(hits, np.int64)
+    np.add.at(mark, np.maximum(hit - reach, 0), 1)
+    np.add.at(mark, np.minimum(hit + reach + 1, len(grams.at)), -1)
+    at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+    cls = grams.cls[at].view(np.int64)
+    order = np.lexsort((at, cls))
+    head = np.ones(len(at), bool)
+    head[1:] = (np.diff(cls[order]) != 0) | (np.diff(at[order]) >= run)
+    base = np.empty_like(at)
+    base[order] = at[order][np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+    return w.start[at], w.end[at + run - 1], at, base, cls
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -121,7 +176,7 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def find_units(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, key, start, end, n_words, class, bands`` of the units of each row of ``docs``; ``key`` is the text's hash."""
+    """``doc_id, key, start, end, at, n_words, class, whole, bands`` of the units of each row of ``docs``; ``key`` is the text's hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +188,9 @@ def find_units(docs: DataFrame, **options) -> DataFrame:
                     part.append((i, t))
                     size += len(t) + 1
                 if part and (size > BATCH_CHARS or i + 1 == len(texts)):
-                    # Units never cross lines, so texts can be joined by a line end and worked on together.
-                    found = units("\n".join(t for _, t in part), **options)
+                    # Units never cross texts, so these can be joined by a line end and worked on together.
                     first = np.cumsum([0, *(len(t) + 1 for _, t in part[:-1])])
+                    found = units("\n".join(t for _, t in part), first, **options)
                     if found:
                         own = np.searchsorted(first, found[0], side="right") - 1
                         at.append(np.array([i for i, _ in part])[own])
@@ -144,16 +199,40 @@ def find_units(docs: DataFrame, **options) -> DataFrame:
             if not cols:
                 continue
             rows = pa.array(np.concatenate(at))
-            start, end, n, cls, banded, keys = (np.concatenate([c[k] for c in cols]) for k in range(6))
+            start, end, word, n, cls, whole, banded, keys = (np.concatenate([c[k] for c in cols]) for k in range(8))
             offsets = np.concatenate([[0], np.cumsum(banded * keys.shape[1])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(cls), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[banded].ravel()))],
-                ["doc_id", "key", "start", "end", "n_words", "class", "bands"],
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(cls), pa.array(whole), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[banded].ravel()))],
+                ["doc_id", "key", "start", "end", "at", "n_words", "class", "whole", "bands"],
             )
 
     small_batches(docs.sparkSession)
     src = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return src.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, n_words int, class long, bands array<long>")
+    return src.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, at int, n_words int, class long, whole boolean, bands array<long>")
+
+
+def repeated_runs(found: DataFrame, docs: DataFrame, run: int, surely: int) -> DataFrame:
+    """``doc_id, key, start, end, at, base, class`` of all runs around the chosen runs of ``found`` that repeat.
+
+    A shared passage reaches less than ``surely - run + 1`` words beyond the outermost chosen runs that both texts share, so
+    equal runs among these give its first and last word.
+    """
+    again = found.where("not whole").groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    hits = found.where("not whole").join(again, "class").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("at").alias("hits"))
+    src = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(written(hits), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, hits) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                start, end, at, base, cls = runs_near(text, hits, run, surely - run + 1)
+                rows = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(rows), b.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (start, end, at, base)), pa.array(cls)],
+                    ["doc_id", "key", "start", "end", "at", "base", "class"],
+                )
+
+    return src.select("doc_id", "key", "text", "hits").mapInArrow(spread, f"doc_id {kind}, key long, start int, end int, at int, base int, class long")
 
 
 def sketch(members: np.ndarray) -> list[int]:
@@ -222,34 +301,37 @@ def near_links(found: DataFrame, docs: DataFrame, width: int, similarity: float,
     return links.union(_verified(rest.distinct(), sets, similarity))
 
 
-def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_run: int = 25, rows: int = 3, bands: int = 8) -> DataFrame:
+def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_run: int = 25, rows: int = 3, bands: int = 8, surely: int = 51) -> DataFrame:
     """Passages of ``docs`` (columns doc_id, text) that repeat: one row for each passage and place.
 
-    Returns ``doc_id, start, end`` (code points), ``n_words, cluster_id, copies, removed``. Units are paragraphs and the
-    passages that tile them (see ``units``). Equal units (by 64-bit hash of their lower-cased words) are one class;
+    Returns ``doc_id, start, end`` (code points), ``n_words, cluster_id, copies, removed``. Units are paragraphs of any length and
+    runs of ``least_run`` words. Equal units (by 64-bit hash of their lower-cased words) are one class;
     paragraphs of different classes are joined where the Jaccard similarity of their ``width``-word shingles is at least ``similarity``
     (``bands`` bands of ``rows`` MinHashes find 99.7 of 100 pairs at 0.8, more above). Components of classes
-    are clusters; a cluster with two or more places repeats. Neighbouring repeated units form a passage; those of fewer than
-    ``least_run`` words are left out as too short to be more than a phrase. ``cluster_id`` is the smallest
+    are clusters; a cluster with two or more places repeats. Every passage of ``surely`` words or more that two places share word
+    by word is found, wherever it stands, and from its first word to its last (see ``units`` and ``repeated_runs``); of those of
+    ``least_run`` words or more some are. Repeated units that touch or overlap form a passage. ``cluster_id`` is the smallest
     id of a document that holds a unit of its clusters; ``removed`` is true unless all its units are the first of
-    their clusters (by id, then place), which stay. Null, empty and short texts have no passage. Rows that share an id and
+    their clusters (by id, then place), which stay. Null and empty texts have no passage. Rows that share an id and
     text count as places each. A null id is an id. An empty table gives an empty one; extra columns are ignored.
     """
-    found = written(find_units(docs, width=width, rows=rows, bands=bands))
+    found = written(find_units(docs, width=width, rows=rows, bands=bands, run=least_run, surely=surely))
     root = connected_components(near_links(found, docs, width, similarity)).select(F.col("node").alias("class"), "root")
-    first = F.min(F.struct("doc_id", "key", "start"))
-    per = found.groupBy("class").agg(F.count("*").alias("n"), first.alias("first"))
-    per = written(per.join(root, "class", "left").withColumn("root", F.coalesce("root", "class")).where((F.col("n") > 1) | F.col("root").isNotNull()))
+    columns = ("doc_id", "key", "start", "end", "at", "base", "n_words", "class")
+    spread = repeated_runs(found, docs, least_run, surely).withColumn("n_words", F.lit(least_run)).select(*columns)
+    every = written(found.where("whole").withColumn("base", F.col("at")).select(*columns).union(spread))
+    place = F.struct("doc_id", "key", "base")
+    per = every.groupBy("class").agg(F.count_if(F.col("at") == F.col("base")).alias("n"), F.min(place).alias("first"))
+    per = written(per.join(root, "class", "left").where((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "class")))
     cluster = per.groupBy("root").agg(F.sum("n").alias("copies"), F.min("first").alias("first")).where("copies > 1")
     named = written(per.select("class", "root").join(cluster, "root").select("class", "copies", "first"))
-    hit = found.drop("bands").join(named, "class").withColumn("keeper", F.col("first").eqNullSafe(F.struct("doc_id", "key", "start")))
-    by = Window.partitionBy("doc_id", "key").orderBy("start", F.desc("end"))
+    hit = every.join(named, "class").withColumn("keeper", F.col("first").eqNullSafe(place))
+    by = Window.partitionBy("doc_id", "key").orderBy("at", F.desc("n_words"))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    hit = hit.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(-9)))
-    hit = hit.withColumn("run", F.sum((F.col("start") > F.col("reach") + 2).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    fresh = F.when(F.col("end") > F.col("reach"), F.col("n_words")).otherwise(0)
+    hit = hit.withColumn("reach", F.coalesce(F.max(F.col("at") + F.col("n_words")).over(before), F.lit(-9)))
+    hit = hit.withColumn("run", F.sum((F.col("at") > F.col("reach")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     out = hit.groupBy("doc_id", "key", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(fresh).alias("n_words"), F.min("first.doc_id").alias("cluster_id"),
-        F.max("copies").alias("copies"), (~F.min("keeper")).alias("removed"),
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("n_words")) - F.min("at")).alias("n_words"),
+        F.min("first.doc_id").alias("cluster_id"), F.max("copies").alias("copies"), (~F.min("keeper")).alias("removed"),
     )
-    return out.where(F.col("n_words") >= least_run).select("doc_id", "start", "end", "n_words", "cluster_id", "copies", "removed")
+    return out.select("doc_id", "start", "end", "n_words", "cluster_id", "copies", "removed")
