@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trialframe.llm.common import written
-from trialframe.llm.curriculum import curriculum
+from trialframe.llm.curriculum import training_order
 from trialframe.llm.decontaminate import drop_leaks
 from trialframe.llm.pii import mask_personal_data
 from trialframe.llm.quality import keep_good
@@ -33,8 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's copies and training position under the curriculum."""
-    return curriculum(docs)
+    """Each copy of a document at its training position under the curriculum."""
+    return training_order(docs)
 
 
 STAGES = [

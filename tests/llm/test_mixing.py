@@ -37,3 +37,16 @@ def test_time_inverts_the_schedule(spark):
 
 def test_empty(spark):
     assert curriculum.curriculum(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_every_copy_has_a_position(spark):
+    rows = [(i, "w " * 5, s) for s, n in (("a", 20), ("b", 300), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = curriculum.curriculum(df, rows_per_bucket=16).toPandas()
+    assert (out.positions.map(len) == out.copies).all() and out.copies.max() == 2
+    capped = out[out.source == "a"]
+    assert (capped.copies == 2).all() and capped.positions.map(max).max() > 0.9
+    assert all(p[0] < p[1] for p in out[out.copies == 2].positions)
+    order = curriculum.training_order(df, rows_per_bucket=16).toPandas()
+    assert order.taken.sum() == out.taken.sum() and order.position.notna().sum() == out.copies.sum()
+    assert order.position.dropna().is_monotonic_increasing

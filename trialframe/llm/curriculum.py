@@ -77,24 +77,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, total_percent: i
     return per.select("source", "n_rows", "source_size", "order", target.alias("target"))
 
 
-def curriculum(
+def _placed(
     docs: DataFrame, size: Column | None = None, weights: Sequence[int] = WEIGHTS, schedules: Sequence = SCHEDULES,
     total_percent: int = 150, cap: int = 2, rows_per_bucket: int = 20_000,
 ) -> DataFrame:
-    """Copies and training positions of each row of ``docs`` (columns doc_id, source, text).
-
-    Returns ``doc_id, source, size, source_size, target, copies, taken, position``, range-sorted by
-    ``position`` (rows that the mix leaves out last, with null). Within its source the documents lie in a
-    fixed random order (md5 of the id); their words and then, once more, the same words fill the demand up
-    to the target. A document is taken whole, once for each time its middle lies within the demand, so a
-    source's words differ from the target by at most half a document. The position is the time at which
-    the source's integrated schedule has asked for the words before the document's first copy.
-
-    The running word count needs no sort of a whole source: each source is cut into ranges of the random
-    order, as many as its rows ask for, ranges are added up first, and a window runs inside each range.
-    Null text has size 0. Null source is a source, the last. A null id counts as an empty text. Repeated
-    rows are documents of their own. An empty table gives an empty one.
-    """
+    """What ``curriculum`` returns, in no order."""
     if size is None:
         size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -112,8 +99,42 @@ def curriculum(
     rows = rows.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("start") + F.col("size") / 2.0
     copies = sum(((middle + F.lit(k) * F.col("source_size") < F.col("target")).cast("int") for k in range(cap)), F.lit(0))
-    share = F.coalesce(F.try_divide(F.col("start").cast("double"), F.col("target")), F.lit(0.0))
+    shares = [F.coalesce(F.try_divide((F.col("start") + F.lit(k) * F.col("source_size")).cast("double"), F.col("target")), F.lit(0.0)) for k in range(cap)]
     out = rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size"))
-    out = out.withColumn("position", F.when(F.col("copies") > 0, time_of(share, F.col("order"), schedules)))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position")
-    return out.repartitionByRange(n_tasks(docs.sparkSession), F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    times = F.array(*(time_of(share, F.col("order"), schedules) for share in shares))
+    out = out.withColumn("positions", F.slice(times, F.lit(1), F.col("copies"))).withColumn("position", F.try_element_at("positions", F.lit(1)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "positions")
+
+
+def _sorted(out: DataFrame) -> DataFrame:
+    by = (F.col("position").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(n_tasks(out.sparkSession), *by).sortWithinPartitions(*by)
+
+
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """Copies and training positions of each row of ``docs`` (columns doc_id, source, text).
+
+    Returns ``doc_id, source, size, source_size, target, copies, taken, position, positions``, range-sorted by
+    ``position`` (rows that the mix leaves out last, with null). Within its source the documents lie in a
+    fixed random order (md5 of the id); their words and then, once more, the same words fill the demand up
+    to the target. A document is taken whole, once for each time its middle lies within the demand, so a
+    source's words differ from the target by at most half a document. ``positions`` has one for each copy: the time at which
+    the source's integrated schedule has asked for the words before that copy. ``position`` is the first of them.
+
+    The running word count needs no sort of a whole source: each source is cut into ranges of the random
+    order, as many as its rows ask for, ranges are added up first, and a window runs inside each range.
+    Null text has size 0. Null source is a source, the last. A null id counts as an empty text. Repeated
+    rows are documents of their own. An empty table gives an empty one.
+    """
+    return _sorted(_placed(docs, **options))
+
+
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """A row for each copy that ``curriculum`` takes, range-sorted by that copy's ``position``.
+
+    Columns are ``doc_id, source, size, source_size, target, copies, taken, position, copy``; ``copy`` counts from 0 and ``taken`` is
+    the words of that copy. Documents that are left out have one row, with no copy or position and nothing taken.
+    """
+    out = _placed(docs, **options).drop("position").select("*", F.posexplode_outer("positions").alias("copy", "position"))
+    taken = F.when(F.col("copy").isNotNull(), F.col("size")).otherwise(0).alias("taken")
+    return _sorted(out.select("doc_id", "source", "size", "source_size", "target", "copies", taken, "position", "copy"))
