@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the chat format.
+TOOLS_HEAD = "\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_TAIL = "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call>"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 DEFAULT_SYSTEM = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
 RESPONSE_MARK = OPEN + "assistant\n"
@@ -49,9 +53,9 @@ def render_with_tools(messages: Column, tools: Column, generation_prompt: bool =
     leads = F.coalesce(first["role"] == "system", F.lit(False))
     system = F.when(leads, first["content"]).otherwise(F.lit(DEFAULT_SYSTEM))
     declared = F.concat(
-        F.lit("\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"),
+        F.lit(TOOLS_HEAD),
         F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), ""),
-        F.lit("\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call>"),
+        F.lit(TOOLS_TAIL),
     )
     head = block("system", F.concat(system, F.when(F.size(tools) > 0, declared).otherwise("")))
 
@@ -63,7 +67,6 @@ def render_with_tools(messages: Column, tools: Column, generation_prompt: bool =
     plain = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
 
     def one(m: Column, i: Column) -> Column:
-        text = F.get(F.split(F.lit(""), ","), F.lit(0))
         before, after = F.get(plain, i - 1)["role"], F.get(plain, i + 1)["role"]
         tool = F.concat(
             F.when((i == 0) | ~F.coalesce(before == "tool", F.lit(False)), OPEN + "user").otherwise(""), F.lit("\n<tool_response>\n"), m["content"],
@@ -71,7 +74,7 @@ def render_with_tools(messages: Column, tools: Column, generation_prompt: bool =
         )
         called = (m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0)
         said = m["role"].isin("user", "assistant") | ((m["role"] == "system") & (i > 0))
-        return F.when(m["role"] == "tool", tool).when(called, calls(m)).when(said, block(m["role"], m["content"])).otherwise(text)
+        return F.when(m["role"] == "tool", tool).when(called, calls(m)).when(said, block(m["role"], m["content"])).otherwise("")
 
     return F.concat(head, F.array_join(F.transform(messages, one), ""), F.lit(RESPONSE_MARK if generation_prompt else ""))
 
@@ -87,16 +90,25 @@ def mask_labels(ids: Column, template: Column, length: Column | None = None) ->
 
     If the template does not occur, only padding is ignored.
     """
-    start = template_end(ids, template)
     pad = F.lit(None).cast("int") if length is None else length
-    return F.transform(ids, lambda x, i: F.when((i < start) | F.coalesce(i >= pad, F.lit(False)), F.lit(IGNORED)).otherwise(x.cast("int")))
+
+    def masked(start: Column) -> Column:
+        return F.transform(ids, lambda x, i: F.when((i < start) | F.coalesce(i >= pad, F.lit(False)), F.lit(IGNORED)).otherwise(x.cast("int")))
+
+    return bound(template_end(ids, template), masked)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` bound to a lambda's variable: it is worked out once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def template_end(ids: Column, template: Column) -> Column:
     """0-based place after the first occurrence of ``template`` in ``ids``; 0 where there is none."""
     n = F.size(template)
-    last = F.size(ids) - n + 1
-    found = F.when(last >= 1, F.array_position(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(ids, i, n) == template), True)).otherwise(F.lit(0))
+    # A slice is made only where the first element fits; one that is cut off by the end equals no template.
+    here = F.transform(ids, lambda x, i: F.when(x == F.get(template, F.lit(0)), F.slice(ids, i + 1, n) == template).otherwise(F.lit(False)))
+    found = F.array_position(here, True)
     return F.when(found > 0, found - 1 + n).otherwise(F.lit(0)).cast("int")
 
 
