@@ -48,5 +48,23 @@ def python_list(items: Column) -> Column:
     return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']")))
 
 
+def indented(lines: Column, spaces: int = 4) -> Column:
+    """Each line of a text moved right."""
+    return F.array_join(F.transform(F.split(lines, "\n"), lambda x: F.concat(F.lit(" " * spaces), x)), "\n")
+
+
+def filled(template: Column | str, **values: Column) -> Column:
+    """``template`` with each literal ``{name}`` replaced by the value of that name, whatever the value holds."""
+    out = F.lit(template) if isinstance(template, str) else template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def number_texts(value: Column) -> Column:
+    """``value`` in the formats that reports use, as a struct: one, two, three and four decimals and an exponent with four."""
+    return F.struct(*[F.format_string(f, value).alias(n) for n, f in (("f1", "%.1f"), ("f2", "%.2f"), ("f3", "%.3f"), ("f4", "%.4f"), ("e4", "%.4e"))])
+
+
 def normal_quantile(p: float) -> float:
     return statistics.NormalDist().inv_cdf(p)

@@ -169,6 +169,22 @@ def ast_checks(rows: DataFrame, code: str = "code", module: str = "") -> DataFra
     return rows.withColumn("_c", run(F.col(code))).select("*", "_c.*").drop("_c")
 
 
+def quick_grades(rows: DataFrame, completion: str = "completion", timeout: float = 10.0, dialect: Dialect | None = None, tasks: int | None = None) -> DataFrame:
+    """``rows`` with ``passed`` and ``error``: the run's error as ``Type: message``, or NoExperimentsSynthesized, or null."""
+    out = grade(rows.withColumn("_code", extract_code(F.col(completion))), "_code", timeout, dialect, tasks)
+    kind, message = F.col("grade.error_type"), F.col("grade.error_message")
+    raised = F.when(F.startswith(message, kind), message).otherwise(F.concat_ws(": ", kind, F.when(message != "", message)))
+    error = F.when(F.col("grade.passed"), F.lit(None)).when(kind == "NoExperimentsProduced", F.lit("NoExperimentsSynthesized")).otherwise(raised)
+    return out.select(*[c for c in rows.columns if c not in ("passed", "error")], F.col("grade.passed").alias("passed"), error.alias("error"))
+
+
+def verify_programs(rows: DataFrame, code: str = "code", timeout: float = 10.0, dialect: Dialect | None = None, tasks: int | None = None) -> DataFrame:
+    """``rows`` with ``ok, num_trials, num_factors, exec_time_sec`` from a run of their program: the data set builder's verifier."""
+    out = grade(rows, code, timeout, dialect, tasks)
+    made = [F.col("grade.passed").alias("ok"), F.col("grade.num_trials").alias("num_trials"), F.col("grade.num_factors").alias("num_factors"), F.col("grade.execution_time_sec").alias("exec_time_sec")]
+    return out.select(*rows.columns, *made)
+
+
 def ladder_score(outcome: Column) -> Column:
     """The score of an outcome's name; null for unknown ones."""
     out = F.lit(None).cast("double")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fence_unless_fenced, fenced
+from ..functions.text import fence_unless_fenced, fenced, padded
+from .ordering import numbered as dense
 from .synthesis import SYSTEM
 
 
@@ -22,16 +23,18 @@ def sft_records(rows: DataFrame, system: str = SYSTEM) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, order: str, partition: str | None = None) -> DataFrame:
-    """``rows`` with ``id`` ``prefix_00000`` on in ``order``. Without ``partition`` the numbering takes one task."""
-    w = Window.partitionBy(partition).orderBy(order) if partition else Window.orderBy(order)
-    return rows.withColumn("id", F.format_string("%s_%05d", F.col(partition) if partition else F.lit(prefix), F.row_number().over(w) - 1))
+    """``rows`` with ``id`` ``prefix_00000`` on in ``order`` (a number), for each ``partition`` if given, which is then the prefix."""
+    out = dense(rows, order, name="_number", partition=partition)
+    return out.withColumn("id", padded(F.col(partition) if partition else F.lit(prefix), F.col("_number"))).drop("_number")
 
 
 def preference_pairs(graded: DataFrame, system: str = SYSTEM) -> DataFrame:
     """Pairs in the schema PREFERENCE_PAIRS from ``seq, task_family, prompt, canonical_code, completion, passed, error``:
-    a row for each completion that failed; the canonical code is chosen, the completion rejected."""
+    a row for each completion that failed; the canonical code is chosen, the completion rejected. The system message is that
+    of ``messages`` where that column is there."""
     failed = numbered(graded.where(~F.col("passed")), "dpo", "seq")
-    said = lambda text: F.array(message("system", F.lit(system)), message("user", F.col("prompt")), message("assistant", text))
+    told = F.col("messages")[0]["content"] if "messages" in graded.columns else F.lit(system)
+    said = lambda text: F.array(message("system", told), message("user", F.col("prompt")), message("assistant", text))
     return failed.select(
         "id", F.coalesce("task_family", F.lit("unknown")).alias("task_family"), "prompt", said(fenced(F.col("canonical_code"))).alias("chosen"),
         said(fence_unless_fenced(F.col("completion"))).alias("rejected"), F.col("error").alias("rejected_error"),

@@ -6,13 +6,24 @@ Draws come from md5 of seed, draw and slot, so results do not depend on partitio
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest, draw
 from ..functions.text import normal_quantile
+from .ordering import numbered
 from .trials import checked_metric, cluster_stats
 
+#: Permutations that share one md5: its first 32 bits are their signs.
+SIGNS = 32
+
+
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, by Stirling's series from 10 on: right to 1e-12."""
+    x = n.cast("double") + 11.0
+    series = (x - 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return series - sum((F.log(n.cast("double") + float(i)) for i in range(1, 11)), F.lit(0.0))
+
 
 def bootstrap_draws(stats: DataFrame, n_boot: int = 5000, seed: int = 42) -> DataFrame:
     """``draw_id, diff``: mean of b minus mean of a over as many clusters as there are, drawn with replacement.
@@ -64,15 +75,20 @@ def cluster_bootstrap(a: DataFrame, b: DataFrame, cluster: str = "task_family",
 def permutation_test(pairs: DataFrame, n_perm: int = 10_000, seed: int = 42, compat: bool = False) -> DataFrame:
     """One row: ``n, observed, exceed, p_value`` of the two-sided sign-flip test on ``diff`` of ``pairs`` (columns id, diff).
 
-    Pairs without a difference can't change a sum and are left out before signs are drawn. ``exceed`` counts
-    permutations at least as far from 0 as the data. ``p_value`` is (exceed + 1) / (n_perm + 1), or with
-    ``compat`` exceed / n_perm. Sums are of decimals, so equal sums compare equal.
+    Pairs without a difference can't change a sum and are left out before signs are drawn. One md5 of a pair and a
+    block of ``SIGNS`` permutations gives the pair's signs in all of them, as bits. Only how many pairs of each
+    difference have each bit set is added up, so rows are pairs times blocks before the shuffle and different
+    differences times blocks after it. ``exceed`` counts permutations at least as far from 0 as the data.
+    ``p_value`` is (exceed + 1) / (n_perm + 1), or with ``compat`` exceed / n_perm. Sums are of decimals, so equal sums compare equal.
     """
     exact = F.round("diff", 6).cast("decimal(18,6)")
     total = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(exact), F.lit(0)).alias("s"))
-    moved = pairs.where("diff <> 0").select("id", exact.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    sign = F.when(digest(seed, F.col("perm"), F.col("id")) % 2 == 0, F.col("d")).otherwise(-F.col("d"))
-    sums = moved.groupBy("perm").agg(F.sum(sign).alias("m"))
+    moved = pairs.where("diff <> 0").select("id", exact.alias("d"), F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // SIGNS))).alias("block"))
+    moved = moved.select("block", "d", digest(seed, F.col("block"), F.col("id")).alias("bits"))
+    ones = F.array(*[F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1))) for k in range(SIGNS)])
+    per = moved.groupBy("block", "d").agg(F.count("*").alias("k"), ones.alias("ones"))
+    per = per.select((F.col("block") * SIGNS).alias("first"), "d", "k", F.posexplode("ones").alias("bit", "minus")).where(F.col("first") + F.col("bit") < n_perm)
+    sums = per.groupBy((F.col("first") + F.col("bit")).alias("perm")).agg(F.sum(F.col("d") * (F.col("k") - 2 * F.col("minus"))).alias("m"))
     agg = sums.join(total).agg(F.count_if(F.abs("m") >= F.abs("s")).alias("far"), F.count("*").alias("made"))
     # Without any difference no permutation was made, and each equals the data.
     out = total.join(agg).withColumn("exceed", F.col("far") + F.lit(n_perm) - F.when(F.col("made") > 0, F.lit(n_perm)).otherwise(F.lit(0)))
@@ -83,14 +99,13 @@ def permutation_test(pairs: DataFrame, n_perm: int = 10_000, seed: int = 42, com
 def permutation_exact(pairs: DataFrame) -> DataFrame:
     """One row: ``up, down, p_value``, exact for differences of -1, 0 and 1: the two-sided sign test.
 
-    The probability adds up binomial terms in logarithms; it has a row for each term, at most one for each pair.
+    The probability adds up binomial terms, each by its own logarithm; there is a row for each term, at most one for each pair.
     """
     c = pairs.agg(F.count_if(F.col("diff") > 0).alias("up"), F.count_if(F.col("diff") < 0).alias("down"))
     c = c.withColumn("m", F.col("up") + F.col("down")).withColumn("gap", F.abs(F.col("up") - F.col("down")))
     logs = c.select("up", "down", "m", "gap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("k"))
-    run = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("k") == 0, F.lit(0.0)).otherwise(F.log((F.col("m") - F.col("k") + 1) / F.col("k")))
-    terms = logs.withColumn("ln", F.sum(step).over(run) - F.col("m") * F.log(F.lit(2.0)))
+    ways = log_factorial(F.col("m")) - log_factorial(F.col("k")) - log_factorial(F.col("m") - F.col("k"))
+    terms = logs.withColumn("ln", ways - F.col("m") * F.log(F.lit(2.0)))
     return terms.groupBy("up", "down").agg(F.least(F.lit(1.0), F.sum(F.when(F.abs(2 * F.col("k") - F.col("m")) >= F.col("gap"), F.exp("ln")).otherwise(0.0))).alias("p_value"))
 
 
@@ -103,11 +118,24 @@ def detectable_effect(pairs: DataFrame, alpha: float = 0.05, power: float = 0.80
 
 
 def subsample_means(pairs: DataFrame, size: int = 50, n_sims: int = 1000, seed: int = 42) -> DataFrame:
-    """``sim, diff, winner`` of ``n_sims`` samples of ``size`` pairs without replacement. Fewer pairs than ``size`` raise."""
+    """``sim, diff, winner`` of ``n_sims`` samples of ``size`` pairs without replacement. Fewer pairs than ``size`` raise.
+
+    Pairs are numbered once, by a hash of their id. Each simulation draws ``size`` numbers by Floyd's method (slot i
+    draws up to n - size + i and takes that limit itself if the number is there already) and looks them up, so there are
+    ``n_sims`` times ``size`` rows whatever the number of pairs.
+    """
     enough = pairs.agg(F.count("*").alias("n")).select(F.when(F.col("n") < size, F.raise_error(F.lit(f"fewer than {size} pairs"))).otherwise(F.col("n")).alias("n"))
-    rows = pairs.join(enough).where("n >= 0").select("id", "diff", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("sim").orderBy(digest(seed, F.col("sim"), F.col("id")), "id"))
-    agg = rows.withColumn("r", rank).where(F.col("r") <= size).groupBy("sim").agg(F.avg("diff").alias("diff"))
+    sims = enough.select("n", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
+
+    def add(have, slot):
+        most = F.col("n") - F.lit(size) + slot
+        pick = lambda t: F.when(F.array_contains(have, t), most).otherwise(t)
+        return F.concat(have, F.transform(F.array(draw(most + 1, seed, F.col("sim"), slot)), pick))
+
+    chosen = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<bigint>"), add)
+    chosen = sims.select("sim", F.explode(chosen).alias("number"))
+    rows = numbered(pairs.select(digest(seed, F.col("id")).alias("h"), "id", "diff"), "h", "id").select("number", "diff")
+    agg = chosen.join(rows, "number").groupBy("sim").agg(F.avg("diff").alias("diff"))
     return agg.withColumn("winner", F.when(F.col("diff") > 0, "B").when(F.col("diff") < 0, "A").otherwise("Tie"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom``, 0 where there is nothing to divide by."""
@@ -74,10 +76,9 @@ def check_pairing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def positional_pairs(a: DataFrame, b: DataFrame, metric: str = "passed") -> DataFrame:
-    """As ``paired``, by place in ``seq`` order. For logs whose ids do not match; numbering takes one task."""
-    order = Window.orderBy("seq")
-    left = checked_metric(a, metric).select(F.row_number().over(order).alias("pos"), F.col(metric).alias("value_a"))
-    right = checked_metric(b, metric).select(F.row_number().over(order).alias("pos"), F.col(metric).alias("value_b"))
+    """As ``paired``, by place (``pos``, from 1) in ``seq`` order. For logs whose ids do not match."""
+    placed = lambda log, name: numbered(checked_metric(log, metric).select("seq", F.col(metric).alias(name)), "seq", name="pos").select((F.col("pos") + 1).alias("pos"), name)
+    left, right = placed(a, "value_a"), placed(b, "value_b")
     return left.join(right, "pos").withColumn("diff", F.col("value_b") - F.col("value_a"))
 
 

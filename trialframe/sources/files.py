@@ -1,4 +1,4 @@
-"""File sources and sinks. Paths are any that Spark can read, but for ``write_text`` and ``read_config``."""
+"""File sources and sinks. Paths are any that Spark can read, but for ``read_config``, which reads a file of the driver."""
 
 from __future__ import annotations
 
@@ -25,17 +25,39 @@ def infer_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def write_jsonl(df: DataFrame, path: str, order: str | None = None, one_file: bool = True) -> None:
     """Overwrite ``path`` with JSON Lines, nulls kept, non-ASCII text as it is, in ``order`` if given.
 
-    ``one_file`` is for results of modest size; without it a sorted table's files follow each other in order.
+    With ``one_file`` (for results of modest size) ``path`` is a file; without it a folder, whose files follow each
+    other in order.
     """
     out = df.orderBy(order) if order else df
-    out = out.coalesce(1) if one_file else out
-    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    target = f"{path}.parts" if one_file else path
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("ignoreNullFields", "false").json(target)
+    if one_file:
+        fs, folder = _file_system(df.sparkSession, target)
+        jvm = df.sparkSession._jvm
+        parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        fs.delete(to, True)
+        if parts:
+            fs.rename(parts[0], to)
+        else:  # an empty table may leave no part
+            fs.create(to, True).close()
+        fs.delete(folder, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and its path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def write_text(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    """Overwrite ``path`` (any that Spark can write) with ``text``; folders above it are made. Needs an active session."""
+    fs, place = _file_system(SparkSession.active(), path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def write_object(df: DataFrame, path: str) -> None:
@@ -63,7 +85,7 @@ def with_record_kind(log: DataFrame) -> DataFrame:
 
 
 def write_train_log(df: DataFrame, path: str) -> None:
-    """All rows as one JSON array with null fields left out."""
+    """All rows as one JSON array with null fields left out. A log has a row for each few training steps."""
     rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).toLocalIterator()]
     write_text(path, json.dumps(rows, indent=2))
 
