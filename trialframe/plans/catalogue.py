@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat, text
 from ..functions.draws import draw
 from ..operators import design, grading, records, resampling, synthesis, trials
 from ..sources import files
+from ..sources.shared import shared_path
 from .proxy import A_SQL, B_SQL, COMPLETIONS_SQL, DESIGNS_SQL, PAIRS_SQL, completions, designs, table
 from .proxy import trials as trial_log
+from .registry import ORACLE, QUERIES, query, r6
 from .report import report_rows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-N_BOOT, N_PERM, N_SIMS = 1000, 300, 200
+N_BOOT, N_PERM, N_SIMS = 5000, 10_000, 1000
 Z = text.normal_quantile(0.975) + text.normal_quantile(0.8)
 
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
 # ---- aggregation ----------------------------------------------------------------------------------------------
 
 
@@ -136,10 +114,13 @@ def _pairs(spark, sf_dir):
     return trials.paired(*_both(spark, sf_dir))
 
 
-@query(f"""WITH {PAIRS_SQL}, sums AS (
-  SELECT p.i AS perm, sum(CASE WHEN ('0x' || substr(md5('42|' || p.i || '|' || id), 1, 8))::BIGINT % 2 = 0 THEN diff ELSE -diff END) AS m FROM pairs, range({N_PERM}) p(i) GROUP BY p.i)
-SELECT (SELECT count(*) FROM pairs) AS n, round((SELECT avg(diff) FROM pairs), 6) AS observed, count(*) FILTER (abs(m) >= abs((SELECT sum(diff) FROM pairs))) AS exceed,
- round((count(*) FILTER (abs(m) >= abs((SELECT sum(diff) FROM pairs))) + 1) / {N_PERM + 1}.0::DOUBLE, 6) AS p_value FROM sums""")
+#: Permutation p flips a pair if bit p % 32 of the md5 of seed, p // 32 and id is set.
+PERM_SQL = f"""bits AS (SELECT b.i AS block, diff, ('0x' || substr(md5('42|' || b.i || '|' || id), 1, 8))::BIGINT AS bits FROM pairs, range({-(-N_PERM // 32)}) b(i) WHERE diff <> 0),
+sums AS (SELECT block * 32 + k.i AS perm, sum(CASE WHEN (bits >> k.i) & 1 = 0 THEN diff ELSE -diff END) AS m FROM bits, range(32) k(i) WHERE block * 32 + k.i < {N_PERM} GROUP BY ALL),
+perm AS (SELECT count(*) FILTER (abs(m) >= abs((SELECT sum(diff) FROM pairs))) AS exceed, round((count(*) FILTER (abs(m) >= abs((SELECT sum(diff) FROM pairs))) + 1) / {N_PERM + 1}.0::DOUBLE, 6) AS p_value FROM sums)"""
+
+
+@query(f"WITH {PAIRS_SQL}, {PERM_SQL} SELECT (SELECT count(*) FROM pairs) AS n, round((SELECT avg(diff) FROM pairs), 6) AS observed, exceed, p_value FROM perm")
 def permutation_test(spark, sf_dir):
     return r6(resampling.permutation_test(_pairs(spark, sf_dir), N_PERM), "observed", "p_value")
 
@@ -155,30 +136,37 @@ def mde(spark, sf_dir):
     return r6(resampling.detectable_effect(_pairs(spark, sf_dir)), "sd", "mde")
 
 
-SIMS_SQL = f"""sims AS (
-  SELECT sim, avg(diff) AS diff FROM (
-    SELECT s.i AS sim, diff, row_number() OVER (PARTITION BY s.i ORDER BY ('0x' || substr(md5('42|' || s.i || '|' || id), 1, 8))::BIGINT, id) AS r FROM pairs, range({N_SIMS}) s(i)) WHERE r <= 50 GROUP BY sim)"""
+#: Each simulation draws 50 row numbers by Floyd's method.
+SIMS_SQL = f"""numbered AS (SELECT diff, row_number() OVER (ORDER BY ('0x' || substr(md5('42|' || id), 1, 8))::BIGINT, id) - 1 AS number FROM pairs),
+drawn AS (
+  SELECT s.i AS sim, 0 AS slot, []::BIGINT[] AS have FROM range({N_SIMS}) s(i)
+  UNION ALL
+  SELECT sim, slot + 1, list_append(have, CASE WHEN list_contains(have, t) THEN most ELSE t END)
+  FROM (SELECT *, ('0x' || substr(md5('42|' || sim || '|' || slot), 1, 8))::BIGINT % (most + 1) AS t FROM (SELECT *, (SELECT count(*) FROM pairs) - 50 + slot AS most FROM drawn) WHERE slot < 50)),
+sims AS (SELECT sim, avg(diff) AS diff FROM (SELECT sim, unnest(have) AS number FROM drawn WHERE slot = 50) JOIN numbered USING (number) GROUP BY sim)"""
 
 
-@query(f"""WITH {PAIRS_SQL}, {SIMS_SQL} SELECT round(avg(diff), 6) AS mean_diff, round(stddev_pop(diff), 6) AS sd_diff, round(min(diff), 6) AS min_diff, round(max(diff), 6) AS max_diff,
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, {SIMS_SQL} SELECT round(avg(diff), 6) AS mean_diff, round(stddev_pop(diff), 6) AS sd_diff, round(min(diff), 6) AS min_diff, round(max(diff), 6) AS max_diff,
  round(quantile_cont(diff, 0.025::DOUBLE), 6) AS low, round(quantile_cont(diff, 0.975::DOUBLE), 6) AS high, round(avg(CASE WHEN diff > 0 THEN 1.0 ELSE 0.0 END), 6) AS pick_b_rate FROM sims""")
 def naive_subsample_sim(spark, sf_dir):
     return r6(resampling.subsample_simulation(_pairs(spark, sf_dir), 50, N_SIMS), "mean_diff", "sd_diff", "min_diff", "max_diff", "low", "high", "pick_b_rate")
 
 
-@query(f"WITH {PAIRS_SQL}, {SIMS_SQL} SELECT CASE WHEN diff > 0 THEN 'B' WHEN diff < 0 THEN 'A' ELSE 'Tie' END AS winner, count(*) AS n FROM sims GROUP BY ALL")
+@query(f"WITH RECURSIVE {PAIRS_SQL}, {SIMS_SQL} SELECT CASE WHEN diff > 0 THEN 'B' WHEN diff < 0 THEN 'A' ELSE 'Tie' END AS winner, count(*) AS n FROM sims GROUP BY ALL")
 def winner_picks(spark, sf_dir):
     return resampling.subsample_means(_pairs(spark, sf_dir), 50, N_SIMS).groupBy("winner").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {A_SQL}, {B_SQL}, {STATS_SQL.replace('lang', 'task_family')}, {DRAWS_SQL.replace(str(N_BOOT), '500')}, ci AS (SELECT quantile_cont(diff, 0.025::DOUBLE) AS low, quantile_cont(diff, 0.975::DOUBLE) AS high FROM draws)
-SELECT 'a' AS model, count(*) AS n, count(*) FILTER (passed) AS n_passed, round(avg(CAST(passed AS INT)), 6) AS pass_rate, round(avg(score), 6) AS mean_score, NULL::DOUBLE AS delta, NULL::DOUBLE AS ci_low, NULL::DOUBLE AS ci_high, 'baseline' AS verdict FROM a
-UNION ALL SELECT 'b', count(*), count(*) FILTER (passed), round(avg(CAST(passed AS INT)), 6), round(avg(score), 6), round(avg(CAST(passed AS INT)) - (SELECT avg(CAST(passed AS INT)) FROM a), 6), round((SELECT low FROM ci), 6), round((SELECT high FROM ci), 6),
- CASE WHEN (SELECT low FROM ci) > 0 THEN 'better' WHEN (SELECT high FROM ci) < 0 THEN 'worse' ELSE 'no difference shown' END FROM b""")
+REPORT_SQL = f"""WITH {PAIRS_SQL}, {PERM_SQL}, {STATS_SQL.replace('lang', 'task_family')}, {DRAWS_SQL}, ci AS (SELECT quantile_cont(diff, 0.025::DOUBLE) AS low, quantile_cont(diff, 0.975::DOUBLE) AS high FROM draws),
+report AS (SELECT 'a' AS model, count(*) AS n, count(*) FILTER (passed) AS n_passed, round(avg(CAST(passed AS INT)), 6) AS pass_rate, round(avg(score), 6) AS mean_score, NULL::DOUBLE AS delta, NULL::DOUBLE AS ci_low, NULL::DOUBLE AS ci_high, NULL::DOUBLE AS p_value, 'baseline' AS verdict FROM a
+UNION ALL SELECT 'b', count(*), count(*) FILTER (passed), round(avg(CAST(passed AS INT)), 6), round(avg(score), 6), round(avg(CAST(passed AS INT)) - (SELECT avg(CAST(passed AS INT)) FROM a), 6), round((SELECT low FROM ci), 6), round((SELECT high FROM ci), 6), (SELECT p_value FROM perm),
+ CASE WHEN (SELECT low FROM ci) > 0 THEN 'better' WHEN (SELECT high FROM ci) < 0 THEN 'worse' ELSE 'no difference shown' END FROM b)"""
+
+
+@query(f"{REPORT_SQL} SELECT * FROM report")
 def report(spark, sf_dir):
     a, b = _both(spark, sf_dir)
-    rows = report_rows({"a": a, "b": b}, "a", n_boot=500, n_perm=50, n_sims=20, size=20)
-    return r6(rows.drop("p_value"), "pass_rate", "mean_score", "delta", "ci_low", "ci_high")
+    return r6(report_rows({"a": a, "b": b}, "a"), "pass_rate", "mean_score", "delta", "ci_low", "ci_high", "p_value")
 
 
 # ---- chat -----------------------------------------------------------------------------------------------------
@@ -236,11 +224,15 @@ p AS (SELECT doc_id, ids, coalesce(list_min(list_filter(range(1, len(ids)), lamb
 SELECT doc_id, len(ids) AS n, pos > 0 AS mask_found, list_sum(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN pos > 0 AND i <= pos + 1 THEN -100 ELSE ids[i] END))::BIGINT AS label_sum,
  len(list_filter(range(1, len(ids) + 1), lambda i: pos > 0 AND i <= pos + 1)) AS n_masked FROM p WHERE len(ids) > 0""")
 def label_mask_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", chat.truncate(_ids()).alias("ids")).where("size(ids) > 0")
     template = F.array(F.lit(3), F.lit(2))
-    out = rows.select("doc_id", "ids", chat.mask_labels(F.col("ids"), template).alias("labels"), chat.template_end(F.col("ids"), template).alias("e"))
-    total = F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n"), (F.col("e") > 0).alias("mask_found"), total.alias("label_sum"), F.size(F.filter("labels", lambda x: x == chat.IGNORED)).cast("long").alias("n_masked"))
+
+    def figures(ids, labels):
+        total = F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x)
+        masked = F.size(F.filter(labels, lambda x: x == chat.IGNORED)).cast("long")
+        return F.struct(F.size(ids).cast("long").alias("n"), (chat.template_end(ids, template) > 0).alias("mask_found"), total.alias("label_sum"), masked.alias("n_masked"))
+
+    row = chat.bound(chat.truncate(_ids()), lambda ids: chat.bound(chat.mask_labels(ids, template), lambda labels: figures(ids, labels)))
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^ \n]")).select("doc_id", row.alias("row")).select("doc_id", "row.*")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(text, '[ \\n]'), lambda w: w <> ''), lambda w: len(w))[1:64] AS ids FROM conversations),
@@ -265,7 +257,7 @@ _CODE = f"'```python' || chr(10) || {{0}} || chr(10) || '```'"
 
 def _documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("task_family"), "lang", F.substring("text", 1, 40).alias("prompt"), F.col("text").alias("code"), "n_chars")
+    return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("task_family"), "lang", F.col("text").alias("prompt"), F.col("text").alias("code"), "n_chars")
 
 
 @query(f"""SELECT lang || '_' || printf('%05d', row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id, source AS task_family, {_CODE.format('text')} AS answer, n_chars::INT AS num_trials FROM documents""")
@@ -281,8 +273,8 @@ def _graded(spark, sf_dir):
 
 
 PAIR_ROWS_SQL = f"""pair_rows AS (
-  SELECT 'dpo_' || printf('%05d', row_number() OVER (ORDER BY d.doc_id) - 1) AS id, source AS task_family, substr(text, 1, 40) AS prompt, {_CODE.format('text')} AS chosen,
-         CASE WHEN d.doc_id % 2 = 0 THEN '```' || chr(10) || substr(text, 1, 40) WHEN starts_with(text, '```') THEN substr(text, 1, 40) ELSE {_CODE.format('substr(text, 1, 40)')} END AS rejected
+  SELECT 'dpo_' || printf('%05d', row_number() OVER (ORDER BY d.doc_id) - 1) AS id, source AS task_family, text AS prompt, {_CODE.format('text')} AS chosen,
+         CASE WHEN d.doc_id % 2 = 0 THEN '```' || chr(10) || text WHEN starts_with(text, '```') THEN text ELSE {_CODE.format('text')} END AS rejected
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality <> 1)"""
 
 
@@ -315,7 +307,7 @@ def split_union(spark, sf_dir):
     return records.union_splits(train=d.where(k < 8), val=d.where(k == 8), test=d.where(k == 9))
 
 
-@query("SELECT doc_id AS seq, substr(text, 1, 40) AS prompt FROM documents WHERE doc_id % 5 = 0 AND substr(text, 1, 40) IN (SELECT substr(text, 1, 40) FROM documents WHERE doc_id % 5 <> 0)")
+@query("SELECT doc_id AS seq, text AS prompt FROM documents WHERE doc_id % 5 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 5 <> 0)")
 def train_test_overlap(spark, sf_dir):
     d = _documents(spark, sf_dir).select("seq", "prompt")
     return records.train_test_overlap(d.where(F.col("seq") % 5 != 0), d.where(F.col("seq") % 5 == 0)).select("seq", "prompt")
@@ -374,7 +366,7 @@ def _sql_pick(values: list, part: str) -> str:
 
 def _generated(generator):
     def run(spark, sf_dir):
-        return generator(synthesis.attempts(spark, N_ATTEMPTS)).select("attempt", "task_family", "complexity", F.array_join("constraint_types", ",").alias("constraint_types"), "prompt")
+        return generator(synthesis.attempts(spark, N_ATTEMPTS)).select("attempt", "task_family", "complexity", F.array_join("constraint_types", ",").alias("constraint_types"), "prompt", "code")
 
     return run
 
@@ -384,23 +376,39 @@ _FACTORS = [{"name": n, "levels": v} for n, v in [*synthesis.PERCEPTUAL.items(),
 _LIST = "'[''' || array_to_string({0}, ''', ''') || ''']'"
 
 
+def _filled(template: str, **values: str) -> str:
+    """SQL that replaces each name in braces by an expression's value."""
+    out = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+_LINES = f"string_agg('    (''' || name || ''', ' || {_LIST.format('picked')} || '),', chr(10) ORDER BY r)"
+_CONGRUENT = (
+    "CASE WHEN name = 'stroop' THEN '[''red'', ''green'', ''blue'', ''yellow'']' ELSE '[''left'', ''right'']' END",
+    "CASE name WHEN 'stroop' THEN 'word_text' WHEN 'flanker' THEN 'target_direction' ELSE 'stimulus_location' END",
+    "CASE name WHEN 'stroop' THEN 'font_color' WHEN 'flanker' THEN 'flanker_direction' ELSE 'response_hand' END",
+)
+
+
 @query(f"""WITH {_RANGE}, f AS (SELECT unnest({_FACTORS}) AS f, unnest(range(23)) AS i),
 c AS (SELECT a, f.name AS name, f.levels AS levels, row_number() OVER (PARTITION BY a ORDER BY {_h('a', "'f'", 'i')}, i) AS r FROM r, f),
 d AS (SELECT *, 2 + {_h('a', "'k'", 'name')} % least(3, len(levels) - 1) AS k FROM c WHERE r <= 2 + {_h('a', "'n'")} % 3),
 l AS (SELECT a, r, name, k, levels[j.i + 1] AS level, row_number() OVER (PARTITION BY a, name ORDER BY {_h('a', "'l'", 'name', 'j.i')}, j.i) AS q FROM d, range(4) j(i) WHERE j.i < len(levels)),
 g AS (SELECT a, r, name, list(level ORDER BY q) AS picked FROM l WHERE q <= k GROUP BY a, r, name),
-t AS (SELECT a, count(*) AS n, string_agg('''' || name || ''' with levels ' || {_LIST.format('picked')}, ', ' ORDER BY r) AS told FROM g GROUP BY a),
+t AS (SELECT a, count(*) AS n, {_LINES} AS lines, string_agg('''' || name || ''' with levels ' || {_LIST.format('picked')}, ', ' ORDER BY r) AS told FROM g GROUP BY a),
 u AS (SELECT *, CASE WHEN {_h('a', "'m'")} % 10 < 4 THEN ([16, 24, 32, 48])[CAST({_h('a', "'t'")} % 4 + 1 AS INT)] ELSE 0 END AS least FROM t),
 v AS (SELECT *, CASE WHEN least > 0 THEN ' Run at least ' || least || ' trials.' ELSE '' END AS asked FROM u)
 SELECT a AS attempt, 'factorial_crossing' AS task_family, CASE WHEN n = 2 THEN 'simple' ELSE 'medium' END AS complexity, CASE WHEN least > 0 THEN 'crossing,minimum_trials' ELSE 'crossing' END AS constraint_types,
  CASE {_h('a', "'p'")} % 3 WHEN 0 THEN 'Create an experiment that fully crosses ' || told || '.' || asked WHEN 1 THEN 'Write a script for a factorial design over ' || n || ' factors: ' || told || '.' || asked
-  ELSE 'Cross every level of ' || told || ' and list the trials.' || asked END AS prompt FROM v""")
+  ELSE 'Cross every level of ' || told || ' and list the trials.' || asked END AS prompt, {_filled(synthesis.CROSSING, lines='lines', least='least::VARCHAR')} AS code FROM v""")
 def synth_factorial(spark, sf_dir):
     return _generated(synthesis.factorial)(spark, sf_dir)
 
 
 @query(f"""WITH {_RANGE}, n AS (SELECT a, {_sql_pick(["stroop", "flanker", "simon"], "c")} AS name, CASE WHEN {_h('a', "'m'")} % 10 < 6 THEN {_sql_pick([1, 2], "k")} ELSE 0 END AS k FROM r)
-SELECT a AS attempt, CASE WHEN name = 'stroop' THEN 'stroop_congruency' ELSE 'flanker_task' END AS task_family, 'medium' AS complexity, CASE WHEN k > 0 THEN 'within_trial_derivation,at_most_k_in_a_row' ELSE 'within_trial_derivation' END AS constraint_types,
+SELECT a AS attempt, {_filled(synthesis.CONGRUENCY, levels=_CONGRUENT[0], first=_CONGRUENT[1], second=_CONGRUENT[2])} AS code, CASE WHEN name = 'stroop' THEN 'stroop_congruency' ELSE 'flanker_task' END AS task_family, 'medium' AS complexity, CASE WHEN k > 0 THEN 'within_trial_derivation,at_most_k_in_a_row' ELSE 'within_trial_derivation' END AS constraint_types,
  CASE WHEN {_h('a', "'p'")} % 2 = 0 THEN 'Build a ' ELSE 'Write the trials of a ' END || name || ' task: cross ''' || CASE name WHEN 'stroop' THEN 'word_text' WHEN 'flanker' THEN 'target_direction' ELSE 'stimulus_location' END || ''' and ''' ||
  CASE name WHEN 'stroop' THEN 'font_color' WHEN 'flanker' THEN 'flanker_direction' ELSE 'response_hand' END || ''' over ' || CASE WHEN name = 'stroop' THEN '[''red'', ''green'', ''blue'', ''yellow'']' ELSE '[''left'', ''right'']' END || ' and mark congruent trials.' ||
  CASE WHEN k > 0 THEN ' No more than ' || k || ' congruent trials in a row.' ELSE '' END AS prompt FROM n""")
@@ -410,19 +418,22 @@ def synth_congruency(spark, sf_dir):
 
 @query(f"""WITH {_RANGE}, n AS (SELECT a, {_sql_pick(synthesis.TASKS, "a")} AS t, ({[{"name": n, "levels": v} for n, v in synthesis.STIMULI]})[CAST({_h('a', "'s'")} % 3 + 1 AS INT)] AS s FROM r)
 SELECT a AS attempt, 'task_switching_transition' AS task_family, 'complex' AS complexity, 'transition_derivation,at_most_k_in_a_row,minimum_trials' AS constraint_types,
- 'Design a task-switching experiment: tasks ' || {_LIST.format('t')} || ', ''' || s.name || ''' with levels ' || {_LIST.format('s.levels')} || '. Derive repeat and switch from the task before. At most ' || {_sql_pick([2, 3], "r")} || ' repeats in a row, at least ' || {_sql_pick([8, 12, 16], "t")} || ' trials.' AS prompt FROM n""")
+ 'Design a task-switching experiment: tasks ' || {_LIST.format('t')} || ', ''' || s.name || ''' with levels ' || {_LIST.format('s.levels')} || '. Derive repeat and switch from the task before. At most ' || {_sql_pick([2, 3], "r")} || ' repeats in a row, at least ' || {_sql_pick([8, 12, 16], "t")} || ' trials.' AS prompt,
+ {_filled(synthesis.SWITCHING, tasks=_LIST.format('t'), levels=_LIST.format('s.levels'), least=_sql_pick([8, 12, 16], "t") + '::VARCHAR', stimulus='s.name')} AS code FROM n""")
 def synth_task_switching(spark, sf_dir):
     return _generated(synthesis.task_switching)(spark, sf_dir)
 
 
 @query(f"""WITH {_RANGE} SELECT a AS attempt, 'nback_window' AS task_family, 'complex' AS complexity, 'window_derivation,minimum_trials' AS constraint_types,
- 'Write a ' || {_sql_pick([1, 2], "n")} || '-back task over the letters [''A'', ''B'', ''C''] with at least ' || {_sql_pick([12, 18], "t")} || ' trials, and mark targets.' AS prompt FROM r""")
+ 'Write a ' || {_sql_pick([1, 2], "n")} || '-back task over the letters [''A'', ''B'', ''C''] with at least ' || {_sql_pick([12, 18], "t")} || ' trials, and mark targets.' AS prompt,
+ {_filled(synthesis.NBACK, n=_sql_pick([1, 2], "n") + '::VARCHAR', least=_sql_pick([12, 18], "t") + '::VARCHAR')} AS code FROM r""")
 def synth_nback(spark, sf_dir):
     return _generated(synthesis.nback)(spark, sf_dir)
 
 
 @query(f"""WITH {_RANGE} SELECT a AS attempt, 'constrained_design' AS task_family, 'medium' AS complexity, 'exclude,pin,at_most_k_in_a_row' AS constraint_types,
- 'Cross ''modality'' (visual, auditory, tactile) with ''intensity'' (low, medium, high), leave out ' || {_sql_pick(["visual", "auditory", "tactile"], "x")} || ', and start with intensity ' || {_sql_pick(["low", "medium", "high"], "p")} || '.' AS prompt FROM r""")
+ 'Cross ''modality'' (visual, auditory, tactile) with ''intensity'' (low, medium, high), leave out ' || {_sql_pick(["visual", "auditory", "tactile"], "x")} || ', and start with intensity ' || {_sql_pick(["low", "medium", "high"], "p")} || '.' AS prompt,
+ {_filled(synthesis.CONSTRAINED, gone=_sql_pick(["visual", "auditory", "tactile"], "x"), pin=_sql_pick(["low", "medium", "high"], "p"))} AS code FROM r""")
 def synth_constrained(spark, sf_dir):
     return _generated(synthesis.constrained)(spark, sf_dir)
 
@@ -438,9 +449,10 @@ def _two(source: str, part: str) -> str:
 @query(f"""WITH {_RANGE}, p AS (SELECT unnest({_PERCEPTUAL}) AS f, unnest(range(8)) AS i), g AS (SELECT unnest({_COGNITIVE}) AS f, unnest(range(15)) AS i),
 pc AS (SELECT * FROM (SELECT a, f.name AS name, f.levels AS levels, row_number() OVER (PARTITION BY a ORDER BY {_h('a', "'f'", 'i')}, i) AS r FROM r, p) WHERE r <= 2),
 gc AS (SELECT * FROM (SELECT a, f.name AS name, f.levels AS levels, row_number() OVER (PARTITION BY a ORDER BY {_h('a', "'g'", 'i')}, i) AS r FROM r, g) WHERE r <= 1),
-x AS (SELECT a, string_agg('''' || name || ''' with levels ' || {_LIST.format('picked')}, ', ' ORDER BY r) AS told FROM {_two('pc', 'l')} GROUP BY a),
-y AS (SELECT a, '''' || name || ''' with levels ' || {_LIST.format('picked')} AS free FROM {_two('gc', 'm')})
-SELECT a AS attempt, 'partial_crossing' AS task_family, 'medium' AS complexity, 'partial_crossing,at_most_k_in_a_row' AS constraint_types, 'Cross ' || told || '; vary ' || free || ' without crossing it.' AS prompt FROM x JOIN y USING (a)""")
+x AS (SELECT a, {_LINES} AS lines, string_agg('''' || name || ''' with levels ' || {_LIST.format('picked')}, ', ' ORDER BY r) AS told FROM {_two('pc', 'l')} GROUP BY a),
+y AS (SELECT a, '''' || name || ''' with levels ' || {_LIST.format('picked')} AS free, name AS factor, {_LIST.format('picked')} AS free_levels FROM {_two('gc', 'm')})
+SELECT a AS attempt, 'partial_crossing' AS task_family, 'medium' AS complexity, 'partial_crossing,at_most_k_in_a_row' AS constraint_types, 'Cross ' || told || '; vary ' || free || ' without crossing it.' AS prompt,
+ {_filled(synthesis.PARTIAL, lines='lines', least="'0'", free='free_levels', factor='factor')} AS code FROM x JOIN y USING (a)""")
 def synth_partial(spark, sf_dir):
     return _generated(synthesis.partial)(spark, sf_dir)
 
@@ -506,22 +518,26 @@ def within_trial_congruency(spark, sf_dir):
 # ---- files ----------------------------------------------------------------------------------------------------
 
 
-def _scratch(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "trialframe-files")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT record_kind, n FROM (VALUES ('train', 2::BIGINT), ('eval', 1::BIGINT), ('final', 1::BIGINT)) t(record_kind, n)")
 def train_log_kinds(spark, sf_dir):
     """A log of three kinds of rows, written as JSON and read back by the log's schema."""
     rows = [(0.1, 5, 1.5, None, None), (0.2, 10, 1.1, None, None), (0.2, 10, None, 0.9, None), (0.3, 15, None, None, 12.5)]
-    path = _scratch(spark, "train-log")
-    spark.createDataFrame(rows, "epoch double, step bigint, loss double, eval_loss double, train_runtime double").agg(F.to_json(F.collect_list(F.struct("*")))).write.text(path)
+    path = shared_path(spark, "train-log") + ".json"
+    files.write_train_log(spark.createDataFrame(rows, "epoch double, step bigint, loss double, eval_loss double, train_runtime double"), path)
     return files.read_train_log(spark, path).groupBy("record_kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, source, text FROM documents")
 def jsonl_roundtrip(spark, sf_dir):
-    path = _scratch(spark, "jsonl")
+    path = shared_path(spark, "jsonl")
     files.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path, one_file=False)
     return files.read_jsonl(spark, path, "doc_id bigint, source string, text string")
+
+
+# The other modules enter their queries as they are imported; some need SQL that is made above.
+from . import catalogue_code, catalogue_files  # noqa: E402
+
+catalogue_files.attach(REPORT_SQL)
+catalogue_code.attach()
+
+__all__ = ["ORACLE", "QUERIES"]
