@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import forget, n_tasks, small_batches, written
 from .components import connected_components
 
 U = np.uint64
@@ -103,7 +104,7 @@ class Grams:
         return self.cls == _slide(whole, window, np.maximum)[spot - window + 1]
 
 
-def units(text: str, first: np.ndarray, width: int = 5, rows: int = 3, bands: int = 8, whole_words: int = 20, run: int = 25, surely: int = 51):
+def units(text: str, first: np.ndarray, width: int = 5, rows: int = 3, bands: int = 8, whole_words: int = 5, run: int = 25, surely: int = 51):
     """Paragraphs of texts and chosen runs of their words, as columns (start, end, at, n_words, class, bands or None).
 
     ``text`` is texts that begin at ``first``, with a line end between them. A paragraph is a line, whatever its length; those of
@@ -146,25 +147,29 @@ def units(text: str, first: np.ndarray, width: int = 5, rows: int = 3, bands: in
     return w.start[both[:, 0]], w.end[both[:, 1] - 1], at[both[:, 0]], size, cls.view(np.int64), is_whole, banded, keys
 
 
-def runs_near(text: str, hits: list[int], run: int, reach: int):
-    """The runs of ``run`` words of a text that begin up to ``reach`` words from one of ``hits``: columns start, end, at, base, class.
+def contexts(text: str, runs: list[tuple[int, bool, bool]], run: int, reach: int) -> list[tuple[int, bool, bytes, bytes]]:
+    """The words beside runs of a text: (place in ``runs``, right side, words' hashes going away from the run, their outer offsets).
 
-    ``base`` is where the chain of equal runs that overlap each other begins, so that a text that repeats one word is no copy of itself.
+    ``runs`` are (first word, left side wanted, right side wanted). There are ``reach`` words on a side, fewer at the text's ends.
     """
     w = Words(text)
-    grams = Grams(w, np.zeros(len(w.hash), np.int64), run)
-    mark = np.zeros(len(grams.at) + 1, np.int64)
-    hit = np.array(hits, np.int64)
-    np.add.at(mark, np.maximum(hit - reach, 0), 1)
-    np.add.at(mark, np.minimum(hit + reach + 1, len(grams.at)), -1)
-    at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-    cls = grams.cls[at].view(np.int64)
-    order = np.lexsort((at, cls))
-    head = np.ones(len(at), bool)
-    head[1:] = (np.diff(cls[order]) != 0) | (np.diff(at[order]) >= run)
-    base = np.empty_like(at)
-    base[order] = at[order][np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
-    return w.start[at], w.end[at + run - 1], at, base, cls
+    short = (w.hash >> U(32)).astype(">u4")
+    out = []
+    for i, (at, left, right) in enumerate(runs):
+        if left and at:
+            side = slice(max(0, at - reach), at)
+            out.append((i, False, short[side][::-1].tobytes(), w.start[side][::-1].astype("<i4").tobytes()))
+        if right and at + run < len(short):
+            side = slice(at + run, at + run + reach)
+            out.append((i, True, short[side].tobytes(), w.end[side].astype("<i4").tobytes()))
+    return out
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many 4-byte words two contexts begin with together."""
+    n = min(len(a), len(b)) // 4
+    differ = np.flatnonzero(np.frombuffer(a, ">u4", n) != np.frombuffer(b, ">u4", n))
+    return int(differ[0]) if len(differ) else n
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -211,28 +216,150 @@ def find_units(docs: DataFrame, **options) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, at int, n_words int, class long, whole boolean, bands array<long>")
 
 
-def repeated_runs(found: DataFrame, docs: DataFrame, run: int, surely: int) -> DataFrame:
-    """``doc_id, key, start, end, at, base, class`` of all runs around the chosen runs of ``found`` that repeat.
+def seen_before(rows: DataFrame, classes: DataFrame, most_bits: int = 26) -> DataFrame:
+    """Those of ``rows`` whose ``class`` may be in ``classes``: all that are, and few others.
 
-    A shared passage reaches less than ``surely - run + 1`` words beyond the outermost chosen runs that both texts share, so
-    equal runs among these give its first and last word.
+    Classes set bits of one bitmap, at least 16 bits for each up to ``2 ** most_bits`` (8 MB, whatever the input), which is
+    broadcast; beyond that more others pass. The caller joins exactly; this spares that join most rows.
     """
-    again = found.where("not whole").groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    hits = found.where("not whole").join(again, "class").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("at").alias("hits"))
-    src = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(written(hits), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    bits = max(12, min(most_bits, (16 * max(1, classes.count()) - 1).bit_length()))
+
+    def spots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = values.view(U) >> U(64 - bits)
+        return (place >> U(6)).astype(np.int64), place & U(63)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits - 6, U)
+        for b in batches:
+            word, bit = spots(b.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(table, word, U(1) << bit)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["w", "b"])
+
+    words = classes.select("class").mapInArrow(mark, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(1 << bits - 6, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    known = rows.sparkSession.sparkContext.broadcast(table)
+    own = rows.columns.index("class")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (text, hits) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                start, end, at, base, cls = runs_near(text, hits, run, surely - run + 1)
-                rows = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (start, end, at, base)), pa.array(cls)],
-                    ["doc_id", "key", "start", "end", "at", "base", "class"],
-                )
+            word, bit = spots(b.column(own).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array((known.value[word].view(U) >> bit & U(1)).astype(bool)))
 
-    return src.select("doc_id", "key", "text", "hits").mapInArrow(spread, f"doc_id {kind}, key long, start int, end int, at int, base int, class long")
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def extended(sides: DataFrame, run: int) -> DataFrame:
+    """``key, at, n_words, start, end, class`` of runs made longer by what their ``sides`` share with others of their class.
+
+    In the order of class and context the longest common context of a row is that with one of its two neighbours. Rows are
+    range-sorted and each range is walked once; the rows at the ranges' ends, two a task, are compared on the driver.
+    """
+    by = ("right", "class", "words")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shared, first = None, 0, True
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if held is not None:
+                    same = common_words(held["words"], row["words"]) if (held["right"], held["class"]) == (row["right"], row["class"]) else 0
+                    out.append({**held, "shared": max(shared, same), "edge": first})
+                    first, shared = False, same
+                held = row
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([{**held, "shared": shared, "edge": True}], schema)
+
+    schema = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("class", pa.int64()), ("right", pa.bool_()), ("words", pa.binary()), ("offsets", pa.binary()), ("shared", pa.int32()), ("edge", pa.bool_())])
+    sides = sides.select("key", "at", "start", "end", "class", "right", "words", "offsets")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sides.schema) + ", shared int, edge boolean"
+    rows = written(sides.repartitionByRange(n_tasks(sides.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(walk, kinds))
+    ends = sorted((r.asDict() for r in rows.where("edge").collect()), key=lambda r: (r["right"], r["class"], bytes(r["words"])))
+    more = []
+    for a, b in zip(ends, ends[1:]):
+        if (a["right"], a["class"]) == (b["right"], b["class"]) and (a["key"], a["at"]) != (b["key"], b["at"]):
+            same = common_words(a["words"], b["words"])
+            more += [{**r, "shared": same} for r in (a, b) if same > r["shared"]]
+    if more:
+        rows = rows.unionByName(rows.sparkSession.createDataFrame([tuple(r[c] for c in rows.columns) for r in more], rows.schema))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                k, end = r["shared"], int(np.frombuffer(r["offsets"], "<i4")[r["shared"] - 1])
+                out.append((r["key"], r["at"] - (0 if r["right"] else k), run + k, r["start"] if r["right"] else end, end if r["right"] else r["end"], r["class"], r["at"]))
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["key", "at", "n_words", "start", "end", "class", "base"])
+
+    return rows.where("shared > 0").mapInArrow(spans, "key long, at int, n_words int, start int, end int, class long, base int")
+
+
+def repeated_runs(found: DataFrame, docs: DataFrame, run: int, surely: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Units ``key, at, n_words, start, end, class, base`` of all repeated runs, made as long as their copies agree, and their
+    classes ``class, n, first``: how many places they have and the first; and the tables that these read.
+
+    Equal texts are worked on once, with the number of rows that have them. A text's runs of one class that overlap are one place
+    (``base`` is the first of them), so that a text that repeats one word is no copy of itself. A run is made longer on a side unless
+    all places of its class are followed there by the same overlapping run: what they share then shows at that run.
+    """
+    runs = found.where("not whole").select("doc_id", "key", "start", "end", "at", "class")
+    again = written(runs.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"))
+    hits = seen_before(runs, again).join(again, "class").groupBy("key", "at", "start", "end", "class").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc"))
+    raw = written(hits)
+    text, own = Window.partitionBy("key").orderBy("at"), Window.partitionBy("key", "class").orderBy("at")
+    hits_at = raw.repartition("key")
+    gap, ahead = F.col("at") - F.lag("at").over(own), F.lead("at").over(own) - F.col("at")
+    hits_at = hits_at.withColumn("head", F.coalesce(gap >= run, F.lit(True))).withColumn("tail", F.coalesce(ahead >= run, F.lit(True)))
+    hits_at = hits_at.withColumn("base", F.last(F.when(F.col("head"), F.col("at")), ignorenulls=True).over(own))
+
+    def beside(step) -> Column:
+        far = F.abs(step("at").over(text) - F.col("at"))
+        return F.when(far <= run, F.struct(step("class").over(text).alias("c"), far.alias("d")))
+
+    hits_at = written(hits_at.withColumn("left", beside(F.lag)).withColumn("right", beside(F.lead)))
+
+    def parted(end: str, side: str) -> Column:
+        value = F.when(F.col(end), F.col(side))
+        return (F.count_if(F.col(end) & F.col(side).isNull()) > 0) | (F.min(value) != F.max(value))
+
+    classes = hits_at.groupBy("class").agg(
+        F.sum(F.when(F.col("head"), F.col("m")).otherwise(0)).alias("n"), F.min(F.struct("doc", "key", F.col("base").alias("at"))).alias("first"),
+        parted("head", "left").alias("open_left"), parted("tail", "right").alias("open_right"),
+    ).where("n > 1")
+    classes = written(classes)
+    forget(again)
+    hits = written(hits_at.drop("left", "right", "m").join(classes.select("class", "open_left", "open_right"), "class"))
+    forget(raw)
+    forget(hits_at)
+    wanted = hits.withColumn("l", F.col("head") & F.col("open_left")).withColumn("r", F.col("tail") & F.col("open_right")).where("l or r")
+    wanted = written(wanted.groupBy("key", F.col("doc").alias("_d")).agg(F.collect_list(F.struct("at", "l", "r", "start", "end", "class")).alias("runs")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    src = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"), "text")
+    src = src.join(wanted, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("key"))).dropDuplicates(["_doc", "_key"]).select("key", "text", "runs")
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, text, found_runs in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for i, right, words, offsets in contexts(text, [(r["at"], r["l"], r["r"]) for r in found_runs], run, surely - run + 1):
+                    r = found_runs[i]
+                    out.append((key, r["at"], r["start"], r["end"], r["class"], right, words, offsets))
+            cols = list(zip(*out)) or [()] * 8
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "at", "start", "end", "class", "right", "words", "offsets"])
+
+    made = written(src.mapInArrow(sides, "key long, at int, start int, end int, class long, right boolean, words binary, offsets binary"))
+    longer = extended(made, run)
+    # The place of a longer run is that of the run it grew from.
+    longer = longer.withColumnRenamed("base", "_at").join(hits.select(F.col("key").alias("_k"), F.col("at").alias("_a"), F.col("class").alias("_c"), "base"), (F.col("key") == F.col("_k")) & (F.col("_at") == F.col("_a")) & (F.col("class") == F.col("_c")))
+    columns = ("key", "at", "n_words", "start", "end", "class", "base")
+    out = hits.withColumn("n_words", F.lit(run)).select(*columns).unionByName(longer.select(*columns))
+    forget(wanted)
+    return out, classes.select("class", "n", "first"), [hits, classes, made]
 
 
 def sketch(members: np.ndarray) -> list[int]:
@@ -301,37 +428,54 @@ def near_links(found: DataFrame, docs: DataFrame, width: int, similarity: float,
     return links.union(_verified(rest.distinct(), sets, similarity))
 
 
-def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_run: int = 25, rows: int = 3, bands: int = 8, surely: int = 51) -> DataFrame:
+def tuned_bands(similarity: float, recall: float = 0.995, rows: int = 3) -> int:
+    """The fewest bands of ``rows`` MinHashes that let pairs of ``similarity`` meet with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_run: int = 25, rows: int = 3, recall: float = 0.995, surely: int = 51) -> DataFrame:
     """Passages of ``docs`` (columns doc_id, text) that repeat: one row for each passage and place.
 
     Returns ``doc_id, start, end`` (code points), ``n_words, cluster_id, copies, removed``. Units are paragraphs of any length and
     runs of ``least_run`` words. Equal units (by 64-bit hash of their lower-cased words) are one class;
     paragraphs of different classes are joined where the Jaccard similarity of their ``width``-word shingles is at least ``similarity``
-    (``bands`` bands of ``rows`` MinHashes find 99.7 of 100 pairs at 0.8, more above). Components of classes
+    (as many bands of ``rows`` MinHashes as find ``recall`` of the pairs at that similarity, and more above). Components of classes
     are clusters; a cluster with two or more places repeats. Every passage of ``surely`` words or more that two places share word
     by word is found, wherever it stands, and from its first word to its last (see ``units`` and ``repeated_runs``); of those of
-    ``least_run`` words or more some are. Repeated units that touch or overlap form a passage. ``cluster_id`` is the smallest
-    id of a document that holds a unit of its clusters; ``removed`` is true unless all its units are the first of
-    their clusters (by id, then place), which stay. Null and empty texts have no passage. Rows that share an id and
+    ``least_run`` words or more some are. Equal texts are one passage each. Repeated units that touch or overlap form a passage.
+    ``cluster_id`` is the smallest id of a document that holds a unit of its clusters; ``removed`` is true unless all its units are
+    the first of their clusters (by id, then text hash and place), which stay. Null and empty texts have no passage. Rows that share an id and
     text count as places each. A null id is an id. An empty table gives an empty one; extra columns are ignored.
     """
-    found = written(find_units(docs, width=width, rows=rows, bands=bands, run=least_run, surely=surely))
-    root = connected_components(near_links(found, docs, width, similarity)).select(F.col("node").alias("class"), "root")
-    columns = ("doc_id", "key", "start", "end", "at", "base", "n_words", "class")
-    spread = repeated_runs(found, docs, least_run, surely).withColumn("n_words", F.lit(least_run)).select(*columns)
-    every = written(found.where("whole").withColumn("base", F.col("at")).select(*columns).union(spread))
-    place = F.struct("doc_id", "key", "base")
-    per = every.groupBy("class").agg(F.count_if(F.col("at") == F.col("base")).alias("n"), F.min(place).alias("first"))
-    per = written(per.join(root, "class", "left").where((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "class")))
+    found = written(find_units(docs, width=width, rows=rows, bands=tuned_bands(similarity, recall, rows), run=least_run, surely=surely))
+    links = near_links(found, docs, width, similarity)
+    root = connected_components(links).select(F.col("node").alias("class"), "root")
+    columns = ("key", "at", "n_words", "start", "end", "class", "base")
+    runs, run_classes, used = repeated_runs(found, docs, least_run, surely)
+    lines = written(found.where("whole").groupBy("key", "at", "n_words", "start", "end", "class").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc")))
+    line_classes = lines.groupBy("class").agg(F.sum("m").alias("n"), F.min(F.struct("doc", "key", "at")).alias("first"))
+    texts = lines.groupBy("key").agg(F.max("m").alias("n"), F.min("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"))
+    texts = written(texts.withColumn("class", F.hash("key").cast("long")).withColumn("at", F.lit(0)).withColumn("base", F.lit(0)))
+    equal = texts.where("n > 1")
+    per = run_classes.unionByName(line_classes).join(root, "class", "left").where("n > 1 or root is not null")
+    per = written(per.withColumn("root", F.coalesce("root", "class")))
     cluster = per.groupBy("root").agg(F.sum("n").alias("copies"), F.min("first").alias("first")).where("copies > 1")
-    named = written(per.select("class", "root").join(cluster, "root").select("class", "copies", "first"))
-    hit = every.join(named, "class").withColumn("keeper", F.col("first").eqNullSafe(place))
-    by = Window.partitionBy("doc_id", "key").orderBy("at", F.desc("n_words"))
+    named = per.select("class", "root").join(cluster, "root").select("class", "copies", "first")
+    every = runs.unionByName(lines.withColumn("base", F.col("at")).select(*columns)).join(named, "class")
+    every = every.unionByName(equal.select(*columns, F.col("n").alias("copies"), F.struct("doc", "key", "at").alias("first")))
+    every = every.join(texts.select(F.col("key").alias("_k"), "doc"), F.col("key") == F.col("_k")).drop("_k")
+    hit = written(every.withColumn("keeper", F.col("first").eqNullSafe(F.struct("doc", "key", F.col("base").alias("at")))))
+    for table in (found, lines, texts, per, *used):
+        forget(table)
+    by = Window.partitionBy("key").orderBy("at", F.desc("n_words"))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     hit = hit.withColumn("reach", F.coalesce(F.max(F.col("at") + F.col("n_words")).over(before), F.lit(-9)))
     hit = hit.withColumn("run", F.sum((F.col("at") > F.col("reach")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = hit.groupBy("doc_id", "key", "run").agg(
+    out = hit.groupBy("key", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("n_words")) - F.min("at")).alias("n_words"),
-        F.min("first.doc_id").alias("cluster_id"), F.max("copies").alias("copies"), (~F.min("keeper")).alias("removed"),
+        F.min("first.doc").alias("cluster_id"), F.max("copies").alias("copies"), F.min("keeper").alias("keeper"), F.min("doc").alias("doc"),
     )
-    return out.select("doc_id", "start", "end", "n_words", "cluster_id", "copies", "removed")
+    places = docs.select("doc_id", F.xxhash64("text").alias("_key"))
+    out = places.join(written(out), F.col("_key") == F.col("key"))
+    stays = F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("doc"))
+    return out.select("doc_id", "start", "end", "n_words", "cluster_id", "copies", (~stays).alias("removed"))
