@@ -76,3 +76,24 @@ def test_empty_and_one_of_each(spark):
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [1, 2]
     assert sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_count_filter_drops_pairs_that_share_too_few_bytes(spark):
+    # The two share exactly three bytes, those of one set: they meet in its list, and the tally drops them.
+    sets = simhash.position_sets(5, 3)
+    for x in __import__("itertools").combinations(range(8), 5):
+        inside = [set(s) for s in sets if set(s) <= set(x)]
+        assert set().union(*inside) == set(x)
+    a = 0x0123456789ABCDEF
+    b = a ^ sum(1 << 8 * p for p in range(8) if p not in sets[0])
+    near = a ^ (1 << 8 * sets[0][0])
+    df = spark.createDataFrame([(a,), (b,), (near,)], "fp long")
+    assert {tuple(sorted(r)) for r in simhash.near_pairs(df, 5 - 2).collect()} == {tuple(sorted((a, near)))}
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rows = [(1, "first text of some words"), (1, "quite another one with other words"), (1, "first text of some words"), (2, "first text of some words"), (None, None), (None, ""), (None, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, key long, fp long, _drop long")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [(0, ""), (0, ""), (1, rows[0][1]), (1, rows[1][1])]

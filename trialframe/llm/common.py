@@ -56,8 +56,6 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-
-
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch. Strings that it reads as bytes must be cast to binary before."""
     small_batches(df.sparkSession)
@@ -69,6 +67,29 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
+    """``left.join(right, on)`` for a ``right`` with one row a key and, in ``weight``, about how many rows of ``left`` have that key.
+
+    Keys that would fill a good part of a task are joined by broadcast, so no task gets all rows of a hot key. Shares of a
+    whole bound their number: four for each task at most, whatever the input.
+    """
+    parts = 4 * n_tasks(left.sparkSession)
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = [r[0] for r in right.where(F.col(weight) * parts > total).select(on).limit(parts).collect()]
+    if not hot:
+        return left.join(right, on)
+    is_hot = F.col(on).isin(hot)
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), on).unionByName(left.where(~is_hot).join(right.where(~is_hot), on))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` or, if ``df`` has such a column, a longer name that it hasn't."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
