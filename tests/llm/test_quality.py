@@ -48,3 +48,46 @@ def test_outliers_go_and_clean_stay(spark):
 
 def test_empty(spark):
     assert quality.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_fit_equals_plain_concentration_steps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    d, rows = len(quality.FEATURES), []
+    for g, (n, shift) in enumerate(((400, 0.0), (60, 2.0), (3, 5.0))):
+        x = rng.normal(shift, 0.2, (n, d))
+        x[: n // 10] += 3
+        rows += [(g * 1000 + i, "en", f"s{g}", *map(float, v)) for i, v in enumerate(x)]
+    names = ", ".join(f"{f} double" for f in quality.FEATURES)
+    df = spark.createDataFrame(rows, f"doc_id long, lang string, source string, {names}")
+    got = {r["doc_id"]: r["distance"] for r in quality.robust_distances(df, ["lang", "source"]).collect()}
+    floor, core, prior = np.diag(np.square(quality.FLOORS)), 0.75, 20.0
+    for g in range(3):
+        own = [r for r in rows if r[2] == f"s{g}"]
+        x = np.array([r[3:] for r in own])
+        low = lambda v, p: np.sort(v, 0)[max(0, int(np.ceil(p * len(v))) - 1)]
+        center, cov, last = low(x, 0.5), floor, None
+        for _ in range(12):
+            far = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+            near = x[far <= low(far, core)]
+            center, m = near.mean(0), len(near)
+            cov = (m * (near.T @ near / m - np.outer(center, center)) + prior * floor) / (m + prior) / core + floor
+            now = np.linalg.slogdet(cov)[1]
+            if last is not None and abs(now - last) <= 1e-12:
+                break
+            last = now
+        want = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+        have = np.array([got[r[0]] for r in own])
+        assert np.allclose(have, want, rtol=0.1, atol=0.2)
+        assert ((have > 25) == (want > 25)).all()
+
+
+def test_rows_with_shared_or_no_id_are_judged_alone(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, good, "en", "s"), (1, "short", "en", "s"), (None, good + " end", "en", None), (None, None, "en", None), (2, "", None, "s"), (2, " ".join(f"word{i}" for i in range(50_000)), "fr", "s")]
+    df = spark.createDataFrame([(*r, 1, 2, 3.0, 4) for r in rows], "doc_id long, text string, lang string, source string, _bad int, g int, distance double, key int")
+    out = quality.keep_good(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in out.collect()) == sorted((i or 0, len(t)) for i, t, *_ in (rows[0], rows[2], rows[5]))
+    assert quality.keep_good(df.limit(0)).count() == 0

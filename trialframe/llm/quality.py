@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import forget, map_texts, spread_join, written
 
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("log_word_len", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share")
 #: Least spread of each: a group whose documents all agree must not reject the first that differs a little.
 FLOORS = (0.15, 0.10, 0.15, 0.12, 0.12, 0.10)
-BASE = "doc_id {id}, lang {lang}, source {source}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+BASE = "doc_id {id}, lang {lang}, source {source}, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
@@ -73,16 +73,16 @@ def statistics(text: str | None, width: int = 8) -> tuple:
 
 
 def document_statistics(docs: DataFrame, width: int = 8) -> DataFrame:
-    """One row for each of ``docs``: id, lang, source, the base counts and FEATURES. Null text: no words."""
+    """One row for each of ``docs``: id, lang, source, the text's hash as ``key``, the base counts and FEATURES. Null text: no words."""
     kinds = {k: docs.schema[c].dataType.simpleString() for k, c in (("id", "doc_id"), ("lang", "lang"), ("source", "source"))}
     schema = BASE.format(**kinds) + "".join(f", {f} double" for f in FEATURES)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(zip(*(statistics(t, width) for t in b.column(3).to_pylist()))) or [()] * (5 + len(FEATURES))
         arrays = [pa.array(c, pa.int64() if i < 5 else pa.float64()) for i, c in enumerate(cols)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], [x.split()[0] for x in schema.split(", ")])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), *arrays], [x.split()[0] for x in schema.split(", ")])
 
-    return map_texts(docs.select("doc_id", "lang", "source", "text"), run, schema)
+    return map_texts(docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("key")), run, schema)
 
 
 def _distance() -> Column:
@@ -93,7 +93,7 @@ def _distance() -> Column:
 
 
 def _fit(groups: DataFrame, prior: float, core: float) -> DataFrame:
-    """Center and inverse covariance of each group from the sums over its core rows."""
+    """Center, inverse covariance and the logarithm of its determinant of each group from the sums over its core rows."""
     d = len(FEATURES)
     floor = np.diag(np.square(FLOORS))
     # The core lacks the tails: under normal data its spread is this much too small.
@@ -107,62 +107,81 @@ def _fit(groups: DataFrame, prior: float, core: float) -> DataFrame:
                 mean = np.array(x) / m
                 cov = np.array(y).reshape(d, d) / m - np.outer(mean, mean)
                 cov = grow * (m * cov + prior * floor) / (m + prior) + floor
-                out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
+                out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([o[0] for o in out], pa.list_(pa.float64())), pa.array([o[1] for o in out], pa.list_(pa.float64()))],
-                ["g", "center", "inverse"],
+                [pa.array(keys, pa.string()), *(pa.array([o[i] for o in out], pa.list_(pa.float64())) for i in (0, 1)), pa.array([o[2] for o in out], pa.float64()), b.column(4)],
+                ["g", "center", "inverse", "logdet", "rows"],
             )
 
-    return groups.mapInArrow(run, "g string, center array<double>, inverse array<double>")
+    return groups.mapInArrow(run, "g string, center array<double>, inverse array<double>, logdet double, rows long")
 
 
-def robust_distances(stats: DataFrame, by: list[str], core: float = 0.75, steps: int = 3, prior: float = 20.0) -> DataFrame:
+def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their group's ``fit``: by broadcast while there are few groups, else with hot groups spread."""
+    return rows.join(F.broadcast(fit), "g") if fit.count() <= 10_000 else spread_join(rows, fit, "g", "rows")
+
+
+def robust_distances(stats: DataFrame, by: list[str], core: float = 0.75, steps: int = 12, prior: float = 20.0, steady: float = 0.01) -> DataFrame:
     """``stats`` with ``distance``: squared Mahalanobis distance under its group's minimum-covariance-determinant fit.
 
     Each group starts at its coordinate medians; a concentration step keeps the ``core`` share of its rows
-    that lie nearest and refits center and covariance on them, which never raises the determinant. All rows
-    of ``stats`` count, by sums that are combined before the shuffle, so no group's rows meet in one task.
+    that lie nearest and refits center and covariance on them, which lowers the determinant. Steps go on until no group's
+    determinant moves by more than ``steady`` of itself, or there were ``steps``. All rows
+    of ``stats`` count, by sums that are combined before the shuffle, and a fit reaches its rows by broadcast or over
+    spread keys, so no group's rows meet in one task.
     Small groups lean on FLOORS with the weight of ``prior`` rows. Nulls in ``by`` form a group.
     """
     d = len(FEATURES)
     rows = written(stats.withColumn("g", F.to_json(F.struct(*by))))
     mid = F.percentile_approx
     floor = np.linalg.inv(np.diag(np.square(FLOORS))).ravel().tolist()
-    fit = rows.groupBy("g").agg(F.array(*[mid(f, 0.5, 1000).cast("double") for f in FEATURES]).alias("center")).withColumn("inverse", F.array(*map(F.lit, floor)))
-    fit = written(fit)
+    fit = rows.groupBy("g").agg(F.count("*").alias("rows"), F.array(*[mid(f, 0.5, 1000).cast("double") for f in FEATURES]).alias("center"))
+    fit = written(fit.withColumns({"inverse": F.array(*map(F.lit, floor)), "logdet": F.lit(None).cast("double")}))
     for _ in range(steps):
-        far = rows.join(fit, "g").withColumn("distance", _distance())
-        edge = far.groupBy("g").agg(mid("distance", core, 1000).alias("edge"))
-        near = far.join(edge, "g").where("distance <= edge")
+        far = _with_fit(rows, fit).withColumn("distance", _distance())
+        edge = written(far.groupBy("g").agg(mid("distance", core, 1000).alias("edge")))
+        near = _with_fit(rows, fit.join(edge, "g")).where(_distance() <= F.col("edge"))
         sums = near.groupBy("g").agg(
             F.count("*").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("s"),
-            F.array(*[F.sum(F.col(FEATURES[min(i, j)]) * F.col(FEATURES[max(i, j)])) for i in range(d) for j in range(d)]).alias("q"),
+            F.array(*[F.sum(F.col(FEATURES[min(i, j)]) * F.col(FEATURES[max(i, j)])) for i in range(d) for j in range(d)]).alias("q"), F.min("rows").alias("rows"),
         )
-        fit = written(_fit(sums, prior, core))
-    return rows.join(fit, "g").withColumn("distance", _distance()).drop("g", "center", "inverse")
-
-
-def quality_rules(docs: DataFrame, limit: float = 25.0, min_words: int = 20, repeat_percent: int = 30, width: int = 8) -> DataFrame:
+        new = written(_fit(sums, prior, core))
+        before = fit.select("g", F.col("logdet").alias("was"))
+        moved = new.join(before, "g").agg(F.max(F.coalesce(F.abs(F.col("logdet") - F.col("was")), F.lit(1.0)))).first()[0]
+        forget(edge)
+        forget(fit)
+        fit = new
+        if (moved or 0.0) <= steady:
+            break
+    return _with_fit(rows, fit).withColumn("distance", _distance()).drop("g", "center", "inverse", "logdet", "rows")
+
+
+def quality_rules(docs: DataFrame, limit: float = 25.0, min_words: int = 20, repeat_percent: int = 30, width: int = 8, named: bool = False) -> DataFrame:
     """Base counts, verdicts and distance of each row of ``docs`` (columns doc_id, text, lang, source).
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    distance``. ``kept`` is false where ``base_failed``, else whether the distance is at most ``limit``
-    (a chi-square with len(FEATURES) degrees passes 25 three times in ten thousand).
+    distance, key`` (the text's hash). ``kept`` is false where ``base_failed``, else whether the distance is at most ``limit``
+    (a chi-square with len(FEATURES) degrees passes 25 three times in ten thousand). ``named`` adds ``g``, a hash of language and source.
     Null and empty texts have no words and fail. Null lang or source is a group of its own. Repeated rows
     count as often as they come; an empty table gives an empty one; extra columns are ignored.
     """
     stats = document_statistics(docs, width)
+    group = [F.xxhash64(F.col("lang").isNull(), "lang", F.col("source").isNull(), "source").alias("g")] if named else []
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return (
         robust_distances(stats, ["lang", "source"])
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("distance") <= limit))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "key", *group)
     )
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns. Rows that share an id share their fate:
-    one rejected row rejects all. A row with a null id stays unless a row without id is rejected."""
-    bad = written(quality_rules(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that the rules keep, with their columns, whatever their names.
+
+    Rows are told apart by id, text, language and source: the verdict on one has no say on others that only share its id, or have none.
+    An empty table gives an empty one."""
+    bad = quality_rules(docs.select("doc_id", "text", "lang", "source"), named=True, **options).where(~F.col("kept"))
+    bad = written(bad.select("doc_id", "key", "g").distinct())
+    own = F.xxhash64(docs["text"]), F.xxhash64(docs["lang"].isNull(), docs["lang"], docs["source"].isNull(), docs["source"])
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (own[0] == bad["key"]) & (own[1] == bad["g"]), "left_anti")
