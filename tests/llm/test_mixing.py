@@ -50,3 +50,29 @@ def test_every_copy_has_a_position(spark):
     order = curriculum.training_order(df, rows_per_bucket=16).toPandas()
     assert order.taken.sum() == out.taken.sum() and order.position.notna().sum() == out.copies.sum()
     assert order.position.dropna().is_monotonic_increasing
+
+
+def test_rows_without_id_clashing_columns_and_long_texts(spark):
+    rows = [(None, f"words {i} of it", "a") for i in range(60)] + [(None, None, "a"), (7, "x " * 100_000, None), (7, "x " * 100_000, None), (8, "", "b")]
+    df = spark.createDataFrame([(*r, 1, 2.0, 3, "k") for r in rows], "doc_id long, text string, source string, size long, position double, piece long, key string")
+    out = curriculum.curriculum(df, rows_per_bucket=8).toPandas()
+    assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all() and out[out["size"] == 0].taken.sum() == 0
+    whole = curriculum.training_order(df, rows_per_bucket=8)
+    assert whole.columns == [*df.columns, "size_", "source_size", "target", "copies", "taken", "position_", "copy"]
+    got = whole.toPandas()
+    assert got.taken.sum() == out.taken.sum() and got.position_.dropna().is_monotonic_increasing
+    assert sorted(got[got.text.notna()].text.unique()) == sorted({t for _, t, _ in rows if t is not None})
+    assert curriculum.training_order(df.limit(0)).count() == 0
+
+
+def test_pieces_stay_small_when_rows_have_no_id(spark):
+    df = spark.createDataFrame([(None, f"words {i}", "a") for i in range(2000)], "doc_id long, text string, source string")
+    by_piece = curriculum._placed(df, rows_per_bucket=100)
+    assert by_piece.select("position").distinct().count() > 1000
+
+
+def test_positions_follow_the_schedule(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x", s) for i, s in enumerate("ab" * 100)], "doc_id long, text string, source string")
+    even = curriculum.curriculum(docs, schedules=(((0.0, 1.0), (1.0, 1.0)),)).toPandas().set_index("doc_id").sort_index()
+    bent = curriculum.curriculum(docs).toPandas().set_index("doc_id").sort_index()
+    assert (even.taken == bent.taken).all() and not (even.position - bent.position).abs().fillna(0).lt(1e-6).all()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_tasks, written
+from .common import forget, fresh, n_tasks, written
 
 WEIGHTS = (3, 1, 2)
 #: Relative rate of a source over training time 0 to 1, as (time, rate) knots joined by straight lines; the
@@ -79,22 +79,28 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, total_percent: i
 
 def _placed(
     docs: DataFrame, size: Column | None = None, weights: Sequence[int] = WEIGHTS, schedules: Sequence = SCHEDULES,
-    total_percent: int = 150, cap: int = 2, rows_per_bucket: int = 20_000,
+    total_percent: int = 150, cap: int = 2, rows_per_bucket: int = 1000, whole: bool = False,
 ) -> DataFrame:
-    """What ``curriculum`` returns, in no order."""
-    if size is None:
-        size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key")))
-    plan = written(targets(rows, weights, total_percent, cap))
-    some = plan.withColumnRenamed("source", "_s")
-    rows = rows.join(some, rows["source"].eqNullSafe(F.col("_s"))).drop("_s")
+    """What ``curriculum`` returns, in no order, and with ``whole`` all columns of ``docs`` as ``row``."""
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") if size is None else size
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    rows = docs.select("doc_id", "source", *([F.struct(*docs.columns).alias("row")] if whole else []), size.alias("size"), key.alias("key"))
+    light = written(rows.select("source", "size", "key"))
+    plan = written(targets(light, weights, total_percent, cap))
     pieces = F.ceil(F.col("n_rows") / F.lit(rows_per_bucket)).cast("double")
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    rows = rows.withColumn("piece", F.floor(place * pieces))
+    some = plan.withColumnRenamed("source", "_s")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # A row for each source: broadcast while they are few.
+        return rows.join(F.broadcast(some) if few else some, rows["source"].eqNullSafe(F.col("_s"))).drop("_s").withColumn("piece", F.floor(place * pieces))
+
+    few = plan.count() <= 10_000
     ahead = Window.partitionBy("order").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("order", "piece").agg(F.sum("size").alias("words")).withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
-    rows = rows.join(sums, ["order", "piece"])
+    sums = placed(light).groupBy("order", "piece").agg(F.sum("size").alias("words"))
+    sums = written(sums.withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words"))
+    forget(light)
+    rows = placed(rows).join(sums, ["order", "piece"])
     inside = Window.partitionBy("order", "piece").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("start") + F.col("size") / 2.0
@@ -103,7 +109,7 @@ def _placed(
     out = rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size"))
     times = F.array(*(time_of(share, F.col("order"), schedules) for share in shares))
     out = out.withColumn("positions", F.slice(times, F.lit(1), F.col("copies"))).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "positions")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "positions", *(["row"] if whole else []))
 
 
 def _sorted(out: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 
     Returns ``doc_id, source, size, source_size, target, copies, taken, position, positions``, range-sorted by
     ``position`` (rows that the mix leaves out last, with null). Within its source the documents lie in a
-    fixed random order (md5 of the id); their words and then, once more, the same words fill the demand up
+    fixed random order (md5 of the id and the text's md5); their words and then, once more, the same words fill the demand up
     to the target. A document is taken whole, once for each time its middle lies within the demand, so a
     source's words differ from the target by at most half a document. ``positions`` has one for each copy: the time at which
     the source's integrated schedule has asked for the words before that copy. ``position`` is the first of them.
@@ -124,17 +130,21 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     The running word count needs no sort of a whole source: each source is cut into ranges of the random
     order, as many as its rows ask for, ranges are added up first, and a window runs inside each range.
     Null text has size 0. Null source is a source, the last. A null id counts as an empty text. Repeated
-    rows are documents of their own. An empty table gives an empty one.
+    rows are documents of their own. An empty table gives an empty one. Extra columns are ignored.
     """
-    return _sorted(_placed(docs, **options))
+    return _sorted(_placed(docs.select("doc_id", "source", "text"), **options))
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
-    """A row for each copy that ``curriculum`` takes, range-sorted by that copy's ``position``.
+    """The documents themselves in training order: a row for each copy that ``curriculum`` takes, range-sorted by that copy's ``position``.
 
-    Columns are ``doc_id, source, size, source_size, target, copies, taken, position, copy``; ``copy`` counts from 0 and ``taken`` is
-    the words of that copy. Documents that are left out have one row, with no copy or position and nothing taken.
+    Columns are those of ``docs`` and ``size, source_size, target, copies, taken, position, copy`` (with an underscore behind where
+    ``docs`` has such a column); ``copy`` counts from 0 and ``taken`` is the words of that copy. Documents that are left out have one
+    row at the end, with no copy or position and nothing taken. Nulls, repeated rows and empty tables are as in ``curriculum``.
     """
-    out = _placed(docs, **options).drop("position").select("*", F.posexplode_outer("positions").alias("copy", "position"))
-    taken = F.when(F.col("copy").isNotNull(), F.col("size")).otherwise(0).alias("taken")
-    return _sorted(out.select("doc_id", "source", "size", "source_size", "target", "copies", taken, "position", "copy"))
+    out = _placed(docs, whole=True, **options).drop("position").select("*", F.posexplode_outer("positions").alias("copy", "position"))
+    out = out.withColumn("taken", F.when(F.col("copy").isNotNull(), F.col("size")).otherwise(0))
+    added = [F.col(c).alias(fresh(docs, c)) for c in ("size", "source_size", "target", "copies", "taken", "position", "copy")]
+    by = (F.col("position").asc_nulls_last(), "doc_id")
+    out = out.repartitionByRange(n_tasks(out.sparkSession), *by).sortWithinPartitions(*by)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *added)

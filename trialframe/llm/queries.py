@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .curriculum import curriculum
@@ -28,7 +29,10 @@ def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns, and from each copy's training position the first and the last, to nine places."""
+    rows = curriculum(table(spark, sf_dir, "documents"))
+    last = F.try_element_at("positions", F.lit(-1))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"), F.round("position", 9).alias("first_position"), F.round(last, 9).alias("last_position"))
 
 
 def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP3 = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 per AS (
@@ -86,16 +90,23 @@ ranked AS (
             / sum(weight) OVER (ORDER BY most / weight, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
 aimed AS (
-  SELECT source, source_size, least(most, coalesce(weight * (
+  SELECT source, source_size, ord, least(most, coalesce(weight * (
            SELECT level FROM ranked WHERE level * weight <= most ORDER BY most / weight, ord LIMIT 1), most)) AS target
   FROM ranked),
 laid AS (
-  SELECT doc_id, s.source, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle
-  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE size * ((middle < target)::BIGINT + (middle + source_size < target)::BIGINT) END)::BIGINT AS taken
-FROM laid
+  SELECT doc_id, s.source, size, source_size, target, ord,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS begin
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source),
+counted AS (
+  SELECT *, (CASE WHEN size = 0 THEN 0 ELSE (begin + size / 2.0 < target)::BIGINT + (begin + size / 2.0 + source_size < target)::BIGINT END)::BIGINT AS copies
+  FROM laid),
+-- Shares of the target delivered before the first and the last copy, and the time t at which each schedule's integral has that
+-- share: 1.5 t - t*t/2 for rates that fall from 1.5 to 0.5, (t + t*t) / 2 for rates that rise from 0.5 to 1.5, t for an even one.
+shares AS (SELECT *, begin / target AS a, (begin + (copies - 1) * source_size) / target AS b FROM counted)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
+       round(CASE WHEN copies > 0 THEN CASE ord % 3 WHEN 0 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2 * a) WHEN 1 THEN (sqrt(1 + 8 * a) - 1) / 2 ELSE a END END, 9) AS first_position,
+       round(CASE WHEN copies > 0 THEN CASE ord % 3 WHEN 0 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2 * b) WHEN 1 THEN (sqrt(1 + 8 * b) - 1) / 2 ELSE b END END, 9) AS last_position
+FROM shares
 """
 
 
