@@ -45,8 +45,9 @@ def test_leaks_match_brute_force(spark):
             if s >= 0.8:
                 want[i, j] = max(s, want.get((i, j), 0))
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    left = {r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()}
-    assert left == {i for i, _ in docs} - {i for i, _ in want}
+    clean = sorted((i or 0, t or "") for i, t in docs if not any(windows_brute(t, x) >= 0.8 for _, x in items))
+    left = decontaminate.drop_leaks(d, b)
+    assert left.columns == d.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == clean
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), b).count() == 0
 
 
@@ -103,3 +104,36 @@ def test_every_long_passage_is_found_whole(spark):
     got = {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["cluster_id"], r["removed"]) for r in rows if r["doc_id"] < 1000}
     assert got == want and len(rows) == len(want) + 2
     assert {(r["doc_id"], r["n_words"], r["removed"]) for r in rows if r["doc_id"] >= 1000} == {(1001, 2, False), (1002, 2, True)}
+
+
+def test_block_index_finds_all_within_the_radius_and_few_others(spark):
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    items = [(i, 30 + i % 2, x) for i, x in enumerate(base)]
+    windows = [(k, 30 + rng.randrange(2), x ^ sum(1 << p for p in rng.sample(range(64), d))) for k, (x, d) in enumerate((x, d) for x in base for d in (0, 5, 12, 15, 16, 20))]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    i = spark.createDataFrame([(a, n, signed(x)) for a, n, x in items], "item_id int, n int, fp long")
+    w = spark.createDataFrame([(a, n, signed(x)) for a, n, x in windows], "doc int, n int, wfp long")
+    want = {(a, b): (x ^ y).bit_count() for a, n, x in windows for b, m, y in items if n == m and (x ^ y).bit_count() <= 15}
+    assert {(r["doc"], r["item_id"]): r["distance"] for r in decontaminate.near_items(w, i, 15).collect()} == want
+    # Without the distance the index alone already leaves out most pairs.
+    left = w.select("*", decontaminate.F.explode(decontaminate.blocks(w["wfp"])).alias("b")).select("doc", "n", "b.no", "b.value")
+    met = left.join(decontaminate.block_index(i, 15), ["n", "no", "value"]).select("doc", "item_id").distinct().count()
+    assert len(want) <= met < 0.15 * len(windows) * len(items)
+
+
+def test_leaks_recall_on_edited_passages(spark):
+    rng = random.Random(13)
+    items = [(i, say(rng, rng.randint(40, 90))) for i in range(25)]
+    docs = []
+    for i, (_, t) in enumerate(items * 2):
+        w = t.split()
+        for _ in range(i % 3):
+            w[rng.randrange(len(w))] = f"edit{i}"
+        docs.append((i, say(rng, 50) + " " + " ".join(w) + " " + say(rng, 50)))
+    docs += [(1000, items[0][1] + " " + items[1][1]), (1001, " ".join(items[2][1].split()[40 // 2 :] + items[2][1].split()[: 40 // 2])), (1002, say(rng, 30_000))]
+    d, b = spark.createDataFrame([(*x, 1, "k", 2) for x in docs], "doc_id long, text string, d long, k string, n long"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b).collect()}
+    pairs = [(i, i % 25) for i in range(50)] + [(1000, 0), (1000, 1), (1001, 2)]  # all others share next to nothing
+    want = {(i, j) for i, j in pairs if windows_brute(dict(docs)[i], items[j][1]) >= 0.8}
+    assert got <= want and len(got) >= 0.97 * len(want) and {(1000, 0), (1000, 1)} <= got
