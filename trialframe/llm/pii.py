@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches, written
+from .common import forget, fresh, map_texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -25,13 +24,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # What an identifier may look like when it misses a base pattern; only a learned context makes it one.
+_AT = re.compile(r"@| ?[(\[]at[)\]] ?")
+_LOOSE_LOCAL = re.compile(r"[\w.%+-]")
+_LOOSE_DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[(\[]dot[)\]] ?)[\w-]+)*")
 _LOOSE = re.compile(
-    r"(?P<email>[\w.%+-]{1,64}(?:@| ?[(\[]at[)\]] ?)[\w-]{1,64}(?:(?:\.| ?[(\[]dot[)\]] ?)[\w-]{1,64}){0,5})"
-    r"|(?P<ip>(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|(?:[0-9]{1,3}[ .,_-]){3}[0-9]{1,3}(?![0-9]))"
+    r"(?P<ip>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9])(?:[0-9]{1,3}[ .,_-]){3}[0-9]{1,3}(?![0-9]))"
     r"|(?P<phone>(?<![0-9])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9]))"
 )
-_WORD_BEFORE = re.compile(r"(\S+)[ \t]{1,3}$")
+_WORD = re.compile(r"\S+")
 _EDGE = "\"'()[]{}<>,;"
 
 
@@ -79,26 +80,77 @@ def joined(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans[k]))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the one and the two words before it on its line, lower-cased and bare."""
-    words: list[str] = []
-    left = text[max(0, start - 60) : start].rpartition("\n")[2]
-    while len(words) < 2 and (m := _WORD_BEFORE.search(left)):
-        words.append(m[1].lower().strip(_EDGE))
-        left = left[: m.start()]
-    if not words and left and not left[-1].isspace():  # "phone:555-0100" has no space
-        words = [left.split()[-1].lower().strip(_EDGE)]
-    if not words or not words[0]:
+class Neighbours:
+    """The words of a text, for the lexical patterns around its spans. Whole words of any length count, however far away on the line."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+
+    def _bare(self, a: int, b: int) -> str:
+        return self.text[a:b].lower().strip(_EDGE)
+
+    def before(self, start: int) -> list[str]:
+        """Up to two words before ``start`` on its line, the nearest first; what a span is glued to counts as a word."""
+        out, at, i = [], start, bisect_left(self.starts, start) - 1
+        while i >= 0 and len(out) < 2:
+            a, b = self.words[i][0], min(self.words[i][1], start)
+            if self.text.find("\n", b, at) >= 0:
+                break
+            if word := self._bare(a, b):
+                out.append(word)
+            at, i = a, i - 1
+        return out
+
+    def after(self, end: int) -> list[str]:
+        """The word after ``end`` on its line, if any."""
+        i = max(0, bisect_right(self.starts, end) - 1)
+        at = end
+        while i < len(self.words):
+            a, b = max(self.words[i][0], end), self.words[i][1]
+            if b > end:
+                if self.text.find("\n", at, a) >= 0:
+                    break
+                if word := self._bare(a, b).strip(".:!?"):
+                    return [word]
+                at = b
+            i += 1
         return []
-    out = ["1 " + words[0]]
-    if len(words) > 1 and words[1]:
-        out.append(f"2 {words[1]} {words[0]}")
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Lexical patterns around a span: one and two words before it, the one after it, and one on either side."""
+        left, right = self.before(start), self.after(end)
+        out = ["1 " + left[0]] if left else []
+        if len(left) > 1:
+            out.append(f"2 {left[1]} {left[0]}")
+        if right:
+            out.append("+ " + right[0])
+        if left and right:
+            out.append(f"= {left[0]} _ {right[0]}")
+        return out
+
+
+def loose_emails(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches of the loose kind, from each mark outwards: linear in the text's length."""
+    out, end = [], 0
+    for m in _AT.finditer(text):
+        if m.start() < end:
+            continue
+        start = m.start()
+        while start > end and _LOOSE_LOCAL.match(text[start - 1]):
+            start -= 1
+        domain = _LOOSE_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            end = domain.end()
+            out.append((start, end))
     return out
 
 
 def loose_spans(text: str, base: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
     """Possible identifiers outside of all base spans."""
-    if not (_DIGIT.search(text) or "@" in text or "at)" in text or "at]" in text):
+    digits = _DIGIT.search(text)
+    if not (digits or "@" in text or "at)" in text or "at]" in text):
         return []
     taken = sorted(s for spans in base.values() for s in spans)
     starts = [a for a, _ in taken]
@@ -106,92 +158,84 @@ def loose_spans(text: str, base: dict[str, list[Span]]) -> list[tuple[str, int,
     for _, b in taken:
         most = max(most, b)
         reach.append(most)
+    found = [("email", *s) for s in loose_emails(text)]
+    found += [(m.lastgroup or "", *m.span()) for m in _LOOSE.finditer(text) if m.lastgroup != "phone" or sum(c.isdigit() for c in m[0]) >= 7] if digits else []
     out = []
-    for m in _LOOSE.finditer(text):
-        i = bisect_right(starts, m.end() - 1) - 1
-        if i < 0 or reach[i] <= m.start():
-            kind = m.lastgroup or ""
-            if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 7:
-                out.append((kind, m.start(), m.end()))
+    for kind, a, b in found:
+        i = bisect_right(starts, b - 1) - 1
+        if i < 0 or reach[i] <= a:
+            out.append((kind, a, b))
     return out
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, known, instance, patterns`` of every base span and possible identifier.
+MENTION = "struct<kind: string, known: boolean, start: int, end: int, instance: string, patterns: array<string>>"
+
 
-    ``known`` tells base spans; ``instance`` is the identifier's lower-cased text; ``patterns`` are its contexts.
+def scan(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, base_sha256, mentions`` of each row, written; ``key`` is the text's hash.
+
+    Mentions are base spans (``known``) and possible identifiers, with their lower-cased text as ``instance`` and the ``patterns`` around them.
     """
-    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    item = pa.struct([("kind", pa.string()), ("known", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for text in b.column(0).to_pylist():
-                if not text:
-                    continue
-                base = base_spans(text)
-                found = [(k, a, z, True) for k in KINDS for a, z in base[k]] + [(*x, False) for x in loose_spans(text, base)]
-                rows += [(k, known, text[a:z].lower(), contexts(text, a, z)) for k, a, z, known in found]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))],
-                ["kind", "known", "instance", "patterns"],
-            )
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sha, rows = [], []
+        for text in b.column(2).to_pylist():
+            text = text or ""
+            base = base_spans(text)
+            sha.append(hashlib.sha256(joined(base).encode()).hexdigest())
+            found = [(k, True, a, z) for k in KINDS for a, z in base[k]] + [(k, False, a, z) for k, a, z in loose_spans(text, base)]
+            near = Neighbours(text) if found else None
+            rows.append([{"kind": k, "known": known, "start": a, "end": z, "instance": text[a:z].lower(), "patterns": near.patterns(a, z)} for k, known, a, z in found])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.string()), pa.array(rows, pa.list_(item))], ["doc_id", "key", "base_sha256", "mentions"])
 
-    return docs.select("text").mapInArrow(run, "kind string, known boolean, instance string, patterns array<string>")
+    src = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return written(map_texts(src, run, f"doc_id {kind}, key long, base_sha256 string, mentions array<{MENTION}>"))
 
 
-def learn_patterns(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5, share: float = 1e-4) -> DataFrame:
-    """``kind, pattern, score`` of the contexts that point to one kind of identifier with high confidence.
+def learn_patterns(scanned: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
+    """``kind, pattern, score`` of the contexts that point to one kind of identifier with high confidence, from a ``scan``.
 
     The graph joins patterns and instances. Base spans are seeds of score 1. In each round a pattern scores
     the summed score of its kind's instances over all instances it meets (of any kind, plus 1), and an
     instance the best of its patterns; instances that reach ``confidence`` count as members in the next round. A
-    pattern needs ``support`` different instances and ``share`` of all that its kind's patterns meet: so at
-    most ``1 / share`` patterns a kind can be learned, whatever the input's size. Both tables are added up by
-    key before the shuffle; a very common pattern is one row for each task. No mention: no pattern.
+    pattern needs ``support`` different instances, whatever the input's size: five are the fewest that can score 0.8 (5 of 5 + 1). Both
+    tables are added up by key before the shuffle; a very common pattern is one row for each task. No mention: no pattern.
     """
-    edges = written(
-        mentions(docs).where("size(patterns) > 0").select("kind", "instance", "known", F.explode("patterns").alias("pattern"))
-        .groupBy("kind", "instance", "pattern").agg(F.max(F.col("known").cast("double")).alias("seed"), F.count("*").alias("n"))
-    )
-    scored = edges.withColumn("score", F.col("seed"))
-    good = None
+    every = scanned.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", "m.known", F.explode("m.patterns").alias("pattern"))
+    edges = written(every.groupBy("kind", "instance", "pattern").agg(F.max(F.col("known").cast("double")).alias("seed")))
+    scored, good = edges.withColumn("score", F.col("seed")), None
     for i in range(rounds):
-        every = scored.groupBy("pattern").agg(F.count("*").alias("all"))
-        per = scored.groupBy("kind", "pattern").agg(F.sum("score").alias("hits"), F.sum(F.when(F.col("score") > 0, F.col("n")).otherwise(0)).alias("weight"))
-        total = per.groupBy("kind").agg(F.sum("weight").alias("total"))
-        good = (
-            per.where(F.col("hits") >= support).join(every, "pattern").join(F.broadcast(total), "kind")  # a row for each kind
-            .where(F.col("weight") >= F.lit(share) * F.col("total"))
-            .withColumn("score", F.col("hits") / (F.col("all") + 1)).where(F.col("score") >= confidence)
-            .select("kind", "pattern", "score")
-        )
-        good = written(good)
+        counts = scored.groupBy("pattern").agg(F.count("*").alias("all"))
+        per = scored.groupBy("kind", "pattern").agg(F.sum("score").alias("hits")).where(F.col("hits") >= support)
+        last, good = good, written(
+            per.join(counts, "pattern").withColumn("score", F.col("hits") / (F.col("all") + 1)).where(F.col("score") >= confidence).select("kind", "pattern", "score")
+        )
+        if last is not None:
+            forget(last)
         if i + 1 < rounds:
             best = edges.where("seed = 0").join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("score").alias("found"))
-            scored = edges.join(best, ["kind", "instance"], "left").withColumn("score", F.greatest("seed", F.coalesce("found", F.lit(0.0)))).drop("found")
-            scored = written(scored)
+            before, scored = scored, written(edges.join(best, ["kind", "instance"], "left").withColumn("score", F.greatest("seed", F.coalesce("found", F.lit(0.0)))).drop("found"))
+            if before is not edges and i:
+                forget(before)
     return good
 
 
-def _all_spans(text: str, patterns: set[tuple[str, str]]) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    base = base_spans(text)
-    more = {k: list(v) for k, v in base.items()}
-    if patterns:
-        for kind, a, b in loose_spans(text, base):
-            if any((kind, p) in patterns for p in contexts(text, a, b)):
-                more[kind].append((a, b))
-    return base, more
+#: Tables of up to this many rows are broadcast; larger ones are joined by a shuffle.
+FEW = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
-def _bound(patterns: DataFrame, share: float = 1e-4) -> set[tuple[str, str]]:
-    """The learned patterns, of which there are at most 1 / share for each kind."""
-    most = round(1 / share) * len(KINDS)
-    rows = patterns.select("kind", "pattern").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} patterns: they were not learned with this share")
-    return {(r["kind"], r["pattern"]) for r in rows}
+def accepted(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``key, added``: for each text the possible identifiers (kind, start, end) that have a learned pattern."""
+    open_ = scanned.select("key", F.explode(F.filter("mentions", lambda m: ~m["known"])).alias("m"))
+    open_ = open_.select("key", "m.kind", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
+    hits = open_.join(_small(patterns.select("kind", "pattern")), ["kind", "pattern"]).select("key", "kind", "start", "end").distinct()
+    return written(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")))
 
 
 def find_personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
@@ -202,24 +246,17 @@ def find_personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> Da
     (``n_found`` of them), by kind, then start. Null and empty texts have none. Rows are independent: repeated
     rows and ids give a row each. An empty table gives an empty one. Extra columns are ignored.
     """
-    known = docs.sparkSession.sparkContext.broadcast(_bound(learn_patterns(docs) if patterns is None else patterns))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        counts: list[list[int]] = [[] for _ in KINDS]
-        sha, spans, added = [], [], []
-        for text in b.column(1).to_pylist():
-            base, more = _all_spans(text or "", known.value)
-            for c, k in zip(counts, KINDS):
-                c.append(len(base[k]))
-            sha.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            spans.append(joined(more))
-            added.append(sum(map(len, more.values())) - sum(map(len, base.values())))
-        arrays = [b.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_found"])
-
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_found long"
-    return map_texts(docs.select("doc_id", "text"), run, schema)
+    scanned = scan(docs.select("doc_id", "text"))
+    added = accepted(scanned, learn_patterns(scanned) if patterns is None else patterns)
+    rows = scanned.join(_small(added), "key", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind: string, start: int, end: int>>")))
+    known = F.filter("mentions", lambda m: m["known"])
+    rank = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind)
+    place = lambda m: F.struct(rank(m["kind"]).alias("k"), m["start"].alias("a"), m["end"].alias("z"), m["kind"].alias("kind"))
+    every = F.array_sort(F.concat(F.transform(known, place), F.transform("added", place)))
+    spans = F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["z"].cast("string"))), ",")
+    of = lambda kind: lambda m: m["known"] & (m["kind"] == kind)
+    counts = [F.size(F.filter("mentions", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return rows.select("doc_id", *counts, "base_sha256", spans.alias("spans"), F.size("added").cast("long").alias("n_found"))
 
 
 def masked(text: str, spans: dict[str, list[Span]]) -> str:
@@ -237,16 +274,30 @@ def masked(text: str, spans: dict[str, list[Span]]) -> str:
 def mask_personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """``docs`` with personal data masked in ``text``, and ``n_chars`` set anew where that column is there.
 
-    Null and empty texts stay as they are, as do all other columns.
+    Null and empty texts stay as they are, as do all other columns, whatever their names. Repeated rows are masked alike. An
+    empty table gives an empty one.
     """
-    known = docs.sparkSession.sparkContext.broadcast(_bound(learn_patterns(docs) if patterns is None else patterns))
-    at = docs.columns.index("text")
+    scanned = scan(docs.select("doc_id", "text"))
+    added = accepted(scanned, learn_patterns(scanned) if patterns is None else patterns)
+    forget(scanned)
+    at, more = docs.columns.index("text"), fresh(docs, "added")
+    own = fresh(docs, "key")
+    more_of = _small(added.select(F.col("key").alias(own), F.col("added").alias(more)))
+    rows = docs.join(more_of, F.xxhash64("text") == F.col(own), "left").select(*docs.columns, more)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t and masked(t, _all_spans(t, known.value)[1]) for t in b.column(at).to_pylist()]
-        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-
-    out = map_texts(docs, run, docs.schema)
+        texts = []
+        for t, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            if t:
+                spans = base_spans(t)
+                for s in found or ():
+                    spans[s["kind"]].append((s["start"], s["end"]))
+                t = masked(t, spans)
+            texts.append(t)
+        kept = [b.column(i) if i != at else pa.array(texts, b.schema.field(at).type) for i in range(b.num_columns - 1)]
+        return pa.RecordBatch.from_arrays(kept, schema=pa.schema([b.schema.field(i) for i in range(b.num_columns - 1)]))
+
+    out = map_texts(rows, run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
