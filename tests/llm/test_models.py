@@ -146,3 +146,42 @@ def test_main_text(spark, data_dir):
     got = {r["page_id"]: r for r in htmlblocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
     assert got[1]["text"] == "A & B\n\none two three four\n\nfive" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[4]["text"] == ""
+
+
+def test_markup_stays_out_whatever_its_quotes():
+    text = lambda h: [b.text for b in htmlblocks.blocks(h)]
+    assert text("<p class=don't>long <b>text</b> isn't done</p><p>next</p>") == ["long text isn't done", "next"]
+    assert text('<p><a title="foo>bar</a> more</p><p class="x">z</p>') == ["bar more", "z"]
+    assert text("<p title=\"a > b\" data-x='<'>one</p><img alt='>'/>two<p a=b/>three") == ["one", "two", "three"]
+    assert text("1 < 2 and <3 > 2") == ["1 < 2 and <3 > 2"]
+
+
+def test_whole_blocks_and_whole_paths_count():
+    deep = "<aside>" + "<div>" * 5000 + "text" + "</div>" * 5000 + "</aside><p>after</p>"
+    one, two = htmlblocks.blocks(deep)
+    slot = htmlblocks._slot("aside", "t", htmlblocks._PATH)
+    assert one.above[slot] > 0 and (two.text, two.above[slot]) == ("after", 0)
+    a, b = (htmlblocks.vectors(htmlblocks.blocks(f"<p>{'w ' * 400}{last}</p>")) for last in ("home", "zebra"))
+    assert not np.array_equal(a, b)  # the last of 401 words tells them apart
+
+
+def test_forward_pass_equals_plain_loops():
+    rng = np.random.default_rng(8)
+    model = htmlblocks.BiLstm(width=htmlblocks.WIDTH, hidden=4)
+    seqs = [rng.standard_normal((n, htmlblocks.WIDTH)).astype(np.float32) for n in (1, 5, 3)]
+    x, mask = htmlblocks.padded(seqs)
+    got = model.scores(x, mask)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for s, row in zip(seqs, got):
+        sides = {}
+        for d in "fb":
+            h, c, out = [0.0] * 4, [0.0] * 4, {}
+            for k in range(len(s)) if d == "f" else reversed(range(len(s))):
+                a = [sum(s[k][i] * model.p["x" + d][i][j] for i in range(len(s[k]))) + sum(h[i] * model.p["h" + d][i][j] for i in range(4)) + model.p["c" + d][j] for j in range(16)]
+                c = [sig(a[4 + j]) * c[j] + sig(a[j]) * math.tanh(a[12 + j]) for j in range(4)]
+                h = [sig(a[8 + j]) * math.tanh(c[j]) for j in range(4)]
+                out[k] = h
+            sides[d] = out
+        for k in range(len(s)):
+            want = sig(sum(v * w for v, w in zip(sides["f"][k] + sides["b"][k], model.p["o"])) + model.p["ob"][0])
+            assert row[k] == pytest.approx(want, abs=1e-5)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -25,30 +26,79 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SKIP_TAGS = ("script", "style", "template", "noscript", "svg", "math", "canvas")
 #: Tags that close themselves when the next of the kind (or, for p, any block) opens.
 SELF_CLOSING = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+#: A tag with well-formed attributes; failing that, such as with a quote that has no partner, all up to the next ``>``.
+_ATTRIBUTES = r"""(?:\s*+/|\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s"'<>][^\s<>]*+))?)*+\s*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)({_ATTRIBUTES}(?=>)|[^>]*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
-_WORD = re.compile(r"[^\W_]+")
+_NAMED = re.compile(r"[^\W_]+")
+
+
+WIDTH = 160
+_PATH, _NAMES, _WORDS = 60, 60, 36  # hashed tag paths, names and words; the rest are plain numbers
+
+
+def _slot(word: str, salt: str, size: int) -> int:
+    return zlib.crc32((salt + word).encode("utf-8", "surrogatepass")) % size
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_slot(word: str) -> int:
+    return _slot(word, "w", _WORDS)
 
 
 @dataclass
 class Block:
-    """Text of one leaf, with the tags above it and the names (class, id, role) that they bear."""
+    """Text of one leaf; ``above`` tells the hashed tags above it and the names (class, id, role) that they bear, all of them."""
 
     text: str
-    path: tuple[str, ...]
-    names: tuple[str, ...]
+    above: np.ndarray
     link_chars: int
 
 
+class _Path:
+    """The open block tags, with how many of them fall into each slot: pushing and popping costs the same at any depth."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, list[int]]] = []
+        self.open: Counter = Counter()
+        self.slots = np.zeros(_PATH + _NAMES, np.int32)
+
+    def push(self, tag: str, names: list[str]) -> None:
+        at = [_slot(tag, "t", _PATH), *(_PATH + _slot(n, "n", _NAMES) for n in names)]
+        for i in at:
+            self.slots[i] += 1
+        self.tags.append((tag, at))
+        self.open[tag] += 1
+
+    def pop(self) -> str:
+        tag, at = self.tags.pop()
+        for i in at:
+            self.slots[i] -= 1
+        self.open[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Leave the innermost ``tag`` and all within it; nothing if there is none."""
+        while self.open[tag]:
+            if self.pop() == tag:
+                return
+
+    def above(self) -> np.ndarray:
+        out = (self.slots > 0).astype(np.float32)
+        if self.tags:
+            out[_slot(self.tags[-1][0], "leaf", _PATH)] += 1.0
+        return out
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks of a page in order. Works on any text: unclosed, crossing and unknown tags are fine.
 
     Scripts, styles, comments and markup give no text; character references are decoded, white space becomes
-    one space; a ``<br>`` is white space.
+    one space; a ``<br>`` is white space. A quote without a partner ends with its tag.
     """
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path = _Path()
     parts: list[str] = []
     link = in_link = 0
 
@@ -57,7 +107,7 @@ def blocks(html: str) -> list[Block]:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append(Block(text, tuple(t for t, _ in path), tuple(n for _, names in path for n in names), link))
+            out.append(Block(text, path.above(), link))
         link = 0
 
     at, skip_to = 0, -1
@@ -76,22 +126,17 @@ def blocks(html: str) -> list[Block]:
                 in_link = 0
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == tag:
-                    if tag in BLOCK_TAGS:
-                        del path[i:]
-                    break
+                path.close(tag)
         elif tag in SKIP_TAGS:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = skip_to = end.end() if end else len(html)
         elif tag in BLOCK_TAGS:
             flush()
-            while path and tag in SELF_CLOSING.get(path[-1][0], ()):
+            while path.tags and tag in SELF_CLOSING.get(path.tags[-1][0], ()):
                 path.pop()
-            if tag not in VOID_TAGS and len(path) < 200:
-                names = tuple(w.lower() for n in _NAME.finditer(m[3]) for w in _WORD.findall(n[2] or n[3] or n[4] or ""))
-                path.append((tag, names))
+            if tag not in VOID_TAGS:
+                path.push(tag, [w.lower() for n in _NAME.finditer(m[3]) for w in _NAMED.findall(n[2] or n[3] or n[4] or "")])
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -104,43 +149,20 @@ def blocks(html: str) -> list[Block]:
 
 # ---- features -------------------------------------------------------------------------------------------------
 
-WIDTH = 96
-_PATH, _NAMES, _WORDS = 40, 40, 12  # hashed tag paths, names and words; the rest are plain numbers
-
-
-def _slot(word: str, salt: str, size: int) -> int:
-    return zlib.crc32((salt + word).encode("utf-8", "surrogatepass")) % size
-
-
-@lru_cache(maxsize=20_000)
-def _context(path: tuple[str, ...], names: tuple[str, ...]) -> np.ndarray:
-    """The part of a vector that tag path and names decide."""
-    v = np.zeros(_PATH + _NAMES, np.float32)
-    for tag in path[-8:]:
-        v[_slot(tag, "t", _PATH)] = 1.0
-    if path:
-        v[_slot(path[-1], "leaf", _PATH)] += 1.0
-    for name in names[-12:]:
-        v[_PATH + _slot(name, "n", _NAMES)] = 1.0
-    return v
-
-
 def vectors(page: list[Block]) -> np.ndarray:
-    """One row for each block: hashed tag path, hashed names, hashed words and plain numbers such as length and link share."""
+    """One row for each block: hashed tag path, hashed names, hashed words (all of the block, as shares) and plain numbers such as length and link share."""
     out = np.zeros((len(page), WIDTH), np.float32)
+    k = _PATH + _NAMES
     for i, b in enumerate(page):
         row = out[i]
-        row[: _PATH + _NAMES] = _context(b.path, b.names)
-        # Words of short blocks tell menus and notices; those of long ones average out.
-        words = b.text[:400].lower().split()[:12]
-        for w in words:
-            row[_PATH + _NAMES + _slot(w, "w", _WORDS)] += 0.5 / len(words)
+        row[:k] = b.above
+        words = b.text.lower().split()
+        row[k : k + _WORDS] = np.bincount([_word_slot(w) for w in words], minlength=_WORDS) * (3.0 / len(words))
         n = len(b.text)
-        k = _PATH + _NAMES + _WORDS
-        row[k] = np.log1p(n) / 5
-        row[k + 1] = min(1.0, b.link_chars / n)
-        row[k + 2] = i / len(page)
-        row[k + 3] = 1.0
+        row[k + _WORDS] = np.log1p(n) / 5
+        row[k + _WORDS + 1] = min(1.0, b.link_chars / n)
+        row[k + _WORDS + 2] = i / len(page)
+        row[k + _WORDS + 3] = 1.0
     return out
 
 
@@ -252,6 +274,12 @@ SIDE_NAMES = {
     "ad": ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad"), "notice": ("cookie", "consent", "gdpr", "notice", "popup", "modal", "alert", "newsletter", "subscribe"),
     "comments": ("comments", "comment", "comment-list", "replies", "reply", "disqus", "discussion"), "share": ("share", "social", "tags", "toolbar"), "form": ("search", "login", "signup", "form"),
 }
+#: Words that menus, notices, adverts and comments often use.
+SIDE_WORDS = {
+    "nav": "home about contact news products services login search blog archive help start impressum kontakt accueil inicio", "footer": "copyright rights reserved privacy terms imprint contact legal datenschutz mentions aviso",
+    "ad": "advertisement sponsored buy now sale offer discount free shipping deal anzeige publicité anuncio", "notice": "we use cookies to improve your experience accept privacy policy consent subscribe newsletter cookie",
+    "comments": "reply thanks great i agree said posted commented comment report like antworten répondre responder",
+}
 MAIN_NAMES = ("", "", "content", "post", "entry", "article-body", "story", "main", "text", "post-content")
 
 
@@ -267,6 +295,13 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     pick = lambda xs: xs[rng.integers(len(xs))]
     html, main = [], []
 
+    def aside(kind: str, a: int, b: int) -> str:
+        """Text of a side block: in part of them, words that are usual there."""
+        if kind not in SIDE_WORDS or rng.random() < 0.5:
+            return say(a, b)
+        own = SIDE_WORDS[kind].split()
+        return " ".join(pick(own) for _ in range(max(1, rng.integers(a, b))))
+
     def add(text: str, is_main: bool, tag: str = "p") -> None:
         close = "" if tag in ("p", "li") and rng.random() < 0.15 else f"</{tag}>"
         wrap = pick(("", "", "", "b", "i", "em", "span", "strong"))
@@ -283,7 +318,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         name = pick(SIDE_NAMES[kind]) if tag in ("div", "p", "section", "ul", "aside") or rng.random() < 0.4 else ""
         name = pick(SIDE_NAMES[kind]) if not plain else name
         if tag == "p":
-            html.append(f'<p class="{name}">{say(3, 40)}</p>')
+            html.append(f'<p class="{name}">{aside(kind, 3, 40)}</p>')
             main.append(False)
             return
         opened(tag, name)
@@ -291,24 +326,24 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             if tag != "ul":
                 html.append("<ul>")
             for _ in range(rng.integers(2, 9)):
-                add(f'<a href="/{word()}">{say(1, 4)}</a>', False, "li")
+                add(f'<a href="/{word()}">{aside(kind, 1, 4)}</a>', False, "li")
             html.append("</ul>" if tag != "ul" else "")
         elif kind == "comments":
             for _ in range(rng.integers(1, 5)):
                 if rng.random() < 0.5:
                     opened("div", "comment")
-                    add(say(4, 70), False)
+                    add(aside(kind, 4, 70), False)
                     html.append("</div>")
                 else:
-                    add(say(4, 70), False, pick(("p", "li", "div")))
+                    add(aside(kind, 4, 70), False, pick(("p", "li", "div")))
         elif kind == "form":
-            add(say(1, 5), False, pick(("button", "legend", "p")))
+            add(aside(kind, 1, 5), False, pick(("button", "legend", "p")))
         elif rng.random() < 0.4:
-            html.append(say(2, 40))
+            html.append(aside(kind, 2, 40))
             main.append(False)
         else:
             for _ in range(rng.integers(1, 4)):
-                add(say(2, 50), False, pick(("p", "p", "div", "h3")))
+                add(aside(kind, 2, 50), False, pick(("p", "p", "div", "h3")))
         html.append(f"</{tag}>")
 
     html.append("<!DOCTYPE html><html><head>")
