@@ -157,7 +157,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         row = out[i]
         row[:k] = b.above
         words = b.text.lower().split()
-        row[k : k + _WORDS] = np.bincount([_word_slot(w) for w in words], minlength=_WORDS) * (3.0 / len(words))
+        row[k : k + _WORDS] = np.bincount([_word_slot(w) for w in words], minlength=_WORDS) * (1.0 / (len(words) + 3))
         n = len(b.text)
         row[k + _WORDS] = np.log1p(n) / 5
         row[k + _WORDS + 1] = min(1.0, b.link_chars / n)
