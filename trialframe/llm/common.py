@@ -82,6 +82,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, weight: str) -> Data
     return left.where(is_hot).join(F.broadcast(right.where(is_hot)), on).unionByName(left.where(~is_hot).join(right.where(~is_hot), on))
 
 
+def if_few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (written, of a few numbers a row) marked for broadcast if it has at most ``rows`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` or, if ``df`` has such a column, a longer name that it hasn't."""
     have = {c.lower() for c in df.columns}

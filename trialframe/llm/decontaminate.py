@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import if_few, written
 
 BITS = 64
 #: Blocks of a fingerprint in the index.
@@ -154,4 +154,4 @@ def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by id and text: a leak in one has no say on others that share its id or have none. Empty tables lose no row."""
     bad = written(find_leaks(docs, items, by_text=True, **options).select("doc_id", "key").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["key"]), "left_anti")
+    return docs.join(if_few(bad), docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["key"]), "left_anti")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_texts, spread_join, written
+from .common import forget, if_few, map_texts, spread_join, written
 
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -184,4 +184,4 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     bad = quality_rules(docs.select("doc_id", "text", "lang", "source"), named=True, **options).where(~F.col("kept"))
     bad = written(bad.select("doc_id", "key", "g").distinct())
     own = F.xxhash64(docs["text"]), F.xxhash64(docs["lang"].isNull(), docs["lang"], docs["source"].isNull(), docs["source"])
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (own[0] == bad["key"]) & (own[1] == bad["g"]), "left_anti")
+    return docs.join(if_few(bad), docs["doc_id"].eqNullSafe(bad["doc_id"]) & (own[0] == bad["key"]) & (own[1] == bad["g"]), "left_anti")

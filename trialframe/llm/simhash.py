@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fresh, map_texts, spread_join, written
+from .common import fresh, if_few, map_texts, spread_join, written
 from .components import connected_components
 
 #: Each lane of 8 bits counts one bit of a byte position; 255 shingles fit before lanes overflow.
@@ -147,7 +147,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = named.where("first is not null").select("first").distinct().select("first.*")
     keep = written(keep.unionByName(rows.where("doc_id is null").select("doc_id", "key").distinct()))
     same = docs[id_col].eqNullSafe(keep["doc_id"]) & (F.xxhash64(docs[text_col]) == keep["key"])
-    stay = docs.join(keep, same, "left_semi")
+    stay = docs.join(if_few(keep), same, "left_semi")
     twice = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").join(keep, ["key"], "left_semi")
     if twice.isEmpty():
         return stay
