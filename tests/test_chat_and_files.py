@@ -3,7 +3,7 @@ import json
 import pytest
 import pyspark.sql.functions as F
 
-from trialframe.functions import chat
+from trialframe.functions import chat, tokens
 from trialframe.sources import files
 
 S, E = chat.OPEN, chat.CLOSE
@@ -71,3 +71,23 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = spark.read.schema(TRIALS).json(str(tmp_path / "in")).withColumn("seq", F.col("id").cast("long"))
     want = {r["task_family"]: (r["n"], r["pass_rate"], pytest.approx(r["mean_score"])) for r in family_breakdown(batch).collect()}
     assert {r["task_family"]: (r["n"], r["pass_rate"], r["mean_score"]) for r in spark.sql("SELECT * FROM running").collect()} == want
+
+
+def test_workers_hold_tokens_of_few_rows(spark):
+    """Tokens of a whole batch of 10,000 rows were Python's numbers at once."""
+
+    class Meter:
+        """Tokens that don't share Python's small numbers, and last the worker's MB."""
+
+        def encode(self, text):
+            with open("/proc/self/statm") as f:
+                return [*range(1000, 2500), int(f.read().split()[1]) // 256]
+
+        def decode(self, ids):
+            return str(len(ids))
+
+    rows = spark.range(10_000).coalesce(1).selectExpr("id", "if(id % 10 = 3, null, 'x') as text")
+    ids = tokens.tokenize(rows, Meter)
+    mb = ids.selectExpr("element_at(ids, -1) as mb").selectExpr("max(mb) - min(mb)", "count(mb)").first()
+    assert mb[1] == 9000 and mb[0] < 100, mb
+    assert tokens.detokenize(ids, Meter, "ids", "said").groupBy("said").count().collect() and ids.where("ids is null").count() == 1000

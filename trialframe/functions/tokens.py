@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a worker turns into tokens at once.
+PORTION = 256
+
 
 class Tokenizer(Protocol):
     """Built once for each task, so it may load a vocabulary."""
@@ -30,20 +34,34 @@ def from_code_points(ids: Column) -> Column:
 
 def tokenize(rows: DataFrame, make: Callable[[], Tokenizer], text: str = "text", ids: str = "ids") -> DataFrame:
     """``rows`` with ``ids``, the tokens of ``text`` (null for null)."""
-    return _mapped(rows, make, text, ids, "array<int>", lambda t, v: [int(i) for i in t.encode(v)])
+    return _mapped(rows, make, text, ids, "array<int>", _encoded)
 
 
 def detokenize(rows: DataFrame, make: Callable[[], Tokenizer], ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with ``text``, the decoded ``ids`` (null for null)."""
-    return _mapped(rows, make, ids, text, "string", lambda t, v: t.decode([int(i) for i in v]))
+    return _mapped(rows, make, ids, text, "string", _decoded)
+
+
+def _encoded(tool: Tokenizer, texts: pa.Array) -> pa.Array:
+    return pa.array([np.array(tool.encode(x.as_py()), np.int32) if x.is_valid else None for x in texts], pa.list_(pa.int32()))
+
+
+def _decoded(tool: Tokenizer, ids: pa.Array) -> pa.Array:
+    return pa.array([tool.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in ids], pa.string())
+
 
+def _mapped(rows: DataFrame, make, source: str, target: str, kind: str, some) -> DataFrame:
+    """Only the row at hand has Python's numbers. Spark's default batch of 10,000 rows is lowered (a value the user has set is kept), and whatever it is, workers do it in portions."""
+    conf = rows.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
-def _mapped(rows: DataFrame, make, source: str, target: str, kind: str, one) -> DataFrame:
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = make()
         for part in parts:
-            yield pd.Series([None if v is None else one(tool, v) for v in part], dtype=object)
+            for i in range(0, len(part), PORTION):
+                yield some(tool, part.slice(i, PORTION))
 
     return rows.withColumn(target, run(F.col(source)))
 
